@@ -27,17 +27,18 @@ from kbforge.llm.tagger import KINDS, PAD_FLAGS, TAGS, Tagger, encode
 MODEL = os.path.join(os.path.dirname(__file__), "models", "pii_tagger.npz")
 WINDOW, OVERLAP = 96, 32
 BATCH_WINDOWS = 512
-_CAP = re.compile(r"(?<![\w@/\\.&#$-])[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ]+(?![\w@/\\=(])")
+_CAP = re.compile(r"[A-ZÀ-ÖØ-Þ][A-Za-zÀ-ÖØ-öø-ÿ]+")
 # (pattern, characters to the left and right that belong to the region)
-_TRIGGERS = [
-    (re.compile(r"(?<=\w)@(?=\w)|(?<=\w) ?[\[(]at[\])] ?(?=\w)"), 40, 40),
-    (re.compile(r"(?<![\w/=._-])[+(]{0,2}\d(?:[  ().\-‑/]{0,3}\d){6,}(?![\w/])|(?<![\w/=._-])[A-Z]{1,2}[ -]?\d(?:[ -]?\d){5,7}(?:[ -]?[A-Z])?\b|(?<![\w/=._-])\d{8}-?[A-Z]\b|\b(?=[A-Z0-9]{9}\b)[A-Z](?=[A-Z0-9]*\d[A-Z0-9]*\d[A-Z0-9]*\d)[A-Z0-9]{8}\b"), 28, 16),
-    (re.compile(r"(?<=[\s,])\d{5}(?=\s+[A-ZÀ-Þ])|\b[A-Z]{2} \d{5}\b|\b[A-Z]{1,2}\d[\dA-Z]? \d[A-Z]{2}\b"), 64, 24),
-]
+_MAIL = re.compile(r"[@＠]|[\[(]at[\])]")
+_DIGITS = re.compile("\\d(?:[ \u00a0\u202f().\\-\u2011/]{0,3}\\d){6,}")
+_ID_LIKE = re.compile(r"[A-Z]\d(?:[ -]?\d){5}|[A-Z] ?\d\d ?\d\d ?\d\d ?[A-D]|\d{8}-?[A-Z]|L0[A-Z0-9]{7}")
+_POSTCODE = re.compile(r"\d{5}\s+[A-ZÀ-Þ]|[A-Z]{2} \d{5}|[A-Z]\d[\dA-Z]? \d[A-Z]{2}")
 _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _NOT_EMAIL = re.compile(r"(?i)^git@|@\d|@latest\b")
 _URL_LOGIN = re.compile(r"[a-z][a-z0-9+.-]*://[^\s/@'\"]*:[^\s/@'\"]*@[\w.-]+", re.I)
-_EMAIL_LIKE = re.compile(r"[\w.+-]+ ?(?:@|[\[(]at[\])]) ?[\w-]+(?:(?:\.|[\[(]dot[\])])[\w-]+)+")
+_EMAIL_LIKE = re.compile(r"[\w.+-]+ ?(?:@|＠|[\[(]at[\])]) ?[\w-]+(?:(?:\.|[\[(]dot[\])])[\w-]+)+")
+_SSN = re.compile("\\d{3}([- \u2011\u00a0])\\d{2}\\1\\d{4}|\\d{8}-?[A-Z]|[A-Z]\\d{8}|[12] \\d{2} \\d{2} \\d{2} \\d{3} \\d{3} \\d{2}")
+_DIALLED = re.compile("\\+?(?:34|33|44|49)[- \u00a0]?\\d[\\d\u00a0 -]{7,14}|0\\d[\\d\u00a0 /-]{8,13}|\\(?\\d{3}\\)?[-. \u2011\u00a0]\\d{3}[-. \u2011\u00a0]\\d{4}")
 _NUMBERED = re.compile(r"(?i)(?:serial|build|request|ticket|version|revision|rev|order|invoice)(?: (?:no\.?|nr\.?|number))? [\w.-]*$|INC-[\d-]*$")
 
 
@@ -71,18 +72,25 @@ def reader(path: str = MODEL) -> Reader:
 def regions(text: str, ordinary) -> list[tuple[int, int]]:
     """Merged (start, end) of the places to be read, in order."""
     spans = []
-    if "@" in text or "(at)" in text or "[at]" in text:
-        spans += [(m.start() - 40, m.end() + 40) for m in _TRIGGERS[0][0].finditer(text)]
-    for r, left, right in _TRIGGERS[1:]:
-        spans += [(m.start() - left, m.end() + right) for m in r.finditer(text)]
-    for m in _CAP.finditer(text):
-        w = m[0]
-        if not ordinary(w) and (len(w) < 12 or len(w) < 40):
-            spans.append((m.start() - 28, m.end() + 24))
+    if "@" in text or "＠" in text or "(at)" in text or "[at]" in text:
+        spans += [(m.start() - 40, m.end() + 40) for m in _MAIL.finditer(text)]
+    for r, left, right in ((_DIGITS, 28, 16), (_ID_LIKE, 28, 16), (_POSTCODE, 64, 24)):
+        for m in r.finditer(text):
+            before = text[m.start() - 1] if m.start() else " "
+            if not (before.isalnum() and r is not _ID_LIKE or before in "/=._-"):
+                spans.append((m.start() - left, m.end() + right))
+    unknown = {w for w in set(_CAP.findall(text)) if not ordinary(w) and len(w) < 40}
+    if unknown:
+        for m in _CAP.finditer(text):
+            if m[0] in unknown:
+                a, b = m.span()
+                before, after = text[a - 1] if a else " ", text[b] if b < len(text) else " "
+                if not (before.isalnum() or before in "@＠/\\&$_+=-.#" and before != "-" or after.isdigit() or after in "@＠/\\_=(+"):
+                    spans.append((a - 28, b + 24))
     if not spans:
         return []
     spans.sort()
-    out = []
+    out: list[list[int]] = []
     n = len(text)
     for a, b in spans:
         a, b = max(0, a), min(n, b)
@@ -103,9 +111,12 @@ def char_flags(text: str, ordinary) -> np.ndarray:
                 f[m.start() : m.end(), 1] = 1
             elif w[0].isupper():
                 f[m.start() : m.end(), 0] = 1
-    for i, c in enumerate(text):
-        if i == 0 or text[i - 1] == "\n":
-            f[i, 2] = 1
+    if len(text):
+        f[0, 2] = 1
+    at = text.find("\n")
+    while 0 <= at < len(text) - 1:
+        f[at + 1, 2] = 1
+        at = text.find("\n", at + 1)
     return f
 
 
@@ -167,6 +178,15 @@ def spans_of(path: np.ndarray) -> list[tuple[int, int, str]]:
     return out
 
 
+def _token(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span widened to whole runs of letters and digits."""
+    while a > 0 and text[a - 1].isalnum():
+        a -= 1
+    while b < len(text) and text[b].isalnum():
+        b += 1
+    return a, b
+
+
 def checked(text: str, spans: list[tuple[int, int, str]], allowed: re.Pattern | None, ordinary) -> list[tuple[int, int, str]]:
     """Exact checks after decoding; spans are trimmed to the tokens they touch."""
     if not spans:
@@ -191,19 +211,32 @@ def checked(text: str, spans: list[tuple[int, int, str]], allowed: re.Pattern |
                 continue
             a, b = own
         elif kind in ("phone", "id_number"):
+            if a and (text[a - 1].isalnum() or text[a - 1] in "-/=_") or b < len(text) and text[b].isalnum() and text[b - 1].isdigit() and not piece[-1].isspace():
+                a0, b0 = _token(text, a, b)
+                if len(text[a0:b0].split()) == 1 and not _SSN.fullmatch(text[a0:b0]) and not _DIALLED.fullmatch(text[a0:b0]) and b0 - a0 > 14:
+                    continue  # part of a longer key, digest or id
+                a, b = a0, b0
+                piece = text[a:b]
+            # The written form decides between the two kinds where it can.
+            kind = "id_number" if _SSN.fullmatch(piece) else "phone" if _DIALLED.fullmatch(piece) else kind
             digits = sum(c.isdigit() for c in piece)
             if digits < (7 if kind == "phone" else 4) or _NUMBERED.search(text[max(0, a - 30) : a]) or re.fullmatch(r"\d{1,3}(?:\.\d{1,3}){3}", piece):
                 continue
             if kind == "phone" and not 7 <= digits <= 17:
                 continue
         elif kind == "address":
-            if not re.search(r"\d", piece) or len(piece) < 10:
+            if not re.search(r"\d", piece) or len(piece) < 10 or not re.search(r"\s", piece):
                 continue
         elif kind == "person":
             if hits(terms) or hits(mails) or hits(logins):
                 continue
+            a, b = _token(text, a, b)
+            piece = text[a:b]
             words = _LETTERS.findall(piece)
-            if not any(len(w) > 1 and w[0].isupper() and not ordinary(w) for w in words):
+            known = [w for w in words if len(w) > 1 and w[0].isupper() and not ordinary(w)]
+            if not known or re.search(r"[\d_/+=]", piece) or all(w.isupper() for w in known) and len(words) == 1:
+                continue
+            if a and text[a - 1] in "/+=_#" or b < len(text) and text[b] in "/+=_(":
                 continue
         out.append((a, b, kind))
     return out

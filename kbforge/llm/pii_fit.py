@@ -17,21 +17,21 @@ from kbforge.llm import pii
 from kbforge.llm.tagger import KINDS, PAD_FLAGS, Adam, Tagger, encode
 
 SAMPLE_DOCUMENTS = 10_000
-_EMAIL = re.compile(r"(?<![\w.+/-])[A-Za-z0-9][\w.+-]*(?:@| ?\[at\] ?| ?\(at\) ?)[A-Za-z][A-Za-z0-9-]*(?:(?:\.|\(dot\)|\[dot\])[A-Za-z][A-Za-z0-9-]*)+")
-_SEP = r"[  .\-‑]"
+_EMAIL = re.compile(r"(?<![\w.+/-])[A-Za-z0-9][\w.+-]*(?: ?[@＠] ?| ?\[at\] ?| ?\(at\) ?)[A-Za-z][A-Za-z0-9-]*(?:(?:\.|\(dot\)|\[dot\])[A-Za-z][A-Za-z0-9-]*)+")
+_SEP = "[ \u00a0\u202f.\\-\u2011]"
 _PHONE = re.compile(
     rf"(?<![\w/=.+-])(?:\+\d{{1,3}}{_SEP}?|00\d{{2}}{_SEP}?(?:\(0\))?)?(?:\(\d{{2,4}}\){_SEP}?)?\d{{1,5}}(?:[  .\-‑/]\d{{2,9}}){{1,5}}(?![\w/@]|\.\d|-\d)(?:,? (?:ext\.?|x|Durchwahl|poste) ?\d{{1,5}})?"
     r"|(?<![\w/=.+-])(?:\+\d{10,13}|1\d{10})(?![\w/])"
 )
 _ID = re.compile(
-    r"(?<![\w/=.-])(?:\d{3}([- ‑])\d{2}\1\d{4}|[12] \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[A-Z]\d{8}|L0[A-Z0-9]{7}|\d{2} \d{3} \d{3} \d{3})(?![\w/-])"
+    r"(?<![\w/=.-])(?:\d{3}([- ‑])\d{2}\1\d{4}|[12] \d{2} \d{2} \d{2} \d{3} \d{3} \d{2}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{8}-?[A-Z]|[XYZ]-?\d{7}-?[A-Z]|[A-Z]\d{8}|L0[A-Z0-9]{7}|(?<!\+)\d{2} \d{3} \d{3} \d{3})(?![\w/-])"
     r"|(?<=number )\d{9}(?!\d)|(?<=SSN )\d{9}(?!\d)|(?<=SSN: )\d{9}(?!\d)|(?<=no\. )\d{9}(?!\d)"
 )
-_STREET = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Terrace|Court|Ct|Drive|Dr|Way|Close|Row|Place|Pl|Boulevard|Blvd)\.?"
+_STREET = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Terrace|Court|Ct|Drive|Dr|Way|Close|Row|Mews|Place|Pl|Boulevard|Blvd)\.?"
 _ADDRESS = re.compile(
     rf"\b\d{{1,5}}[A-Za-z]? (?:[A-Z][a-z]+ ){{1,3}}{_STREET}(?:,? (?:(?:Apt|Unit|Suite|Flat) \w+|#\w+))?(?:[,\n]\s?[A-ZÀ-Þ][\w-]+(?: [A-Z][\w-]+)?,?(?: [A-Z]{{2}} \d{{5}}| [A-Z]{{1,2}}\d[\dA-Z]? \d[A-Z]{{2}})?)?"
     r"|\b\d{1,4}(?: (?:bis|ter))?,? (?:rue|avenue|place|quai|impasse|boulevard|allée|chemin|cours|route) [^\n,]{3,40},\s\d{5} [A-ZÀ-Þ][\w-]+"
-    r"|\b(?:Calle|Paseo|Avenida|Plaza|Ronda|Camino|Travesía)(?: (?:de|del|la|las|los|el))* [A-ZÀ-Þ][\w-]+(?: [A-ZÀ-Þ][\w-]+)?,? (?:nº )?\d{1,4}(?:, \d{1,2}º ?[A-Z]?)?,\s\d{5} [A-ZÀ-Þ][\w-]+"
+    r"|(?<!\w)(?:C/|Calle|Paseo|Avenida|Plaza|Ronda|Camino|Travesía)(?: (?:de|del|la|las|los|el))* [A-ZÀ-Þ][\w-]+(?: [A-ZÀ-Þ][\w-]+)?,? (?:nº )?\d{1,4}(?:, \d{1,2}º ?[A-Z]?)?,\s\d{5} [A-ZÀ-Þ][\w-]+"
     r"|\b[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|weg|gasse|platz|allee|str\.|ring|damm|ufer|hof|steig) ?\d{1,4}[a-z]?,\s\d{5} [A-ZÀ-Þ][\w-]+"
     r"|\b(?:Am|An der|Im|Zum) [A-ZÄÖÜ][a-zäöüß-]+(?: [A-ZÄÖÜ][a-zäöüß-]+)? \d{1,4}[a-z]?,\s\d{5} [A-ZÀ-Þ][\w-]+"
 )

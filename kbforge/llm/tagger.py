@@ -14,6 +14,14 @@ def char_ids() -> dict[str, int]:
     return {chr(c): c - 31 for c in range(32, 127)}
 
 
+# Length-preserving normal forms: other spaces, hyphens, at signs and decimal digits read as their ASCII kin.
+_ALIKE = {**dict.fromkeys("\u00a0\u2007\u2009\u202f", " "), **dict.fromkeys("\u2010\u2011\u2012\u2013", "-"), "\uff20": "@"}
+
+
+def _plain(c: str) -> str:
+    return _ALIKE.get(c) or (str(int(c)) if c.isdecimal() and not c.isascii() else c)
+
+
 _IDS = char_ids()
 N_CHARS = 96 + 8
 
@@ -37,7 +45,7 @@ def char_class(c: str) -> int:
 
 
 def encode(text: str) -> np.ndarray:
-    return np.fromiter((_IDS.get(c) or char_class(c) for c in text), dtype=np.int16, count=len(text))
+    return np.fromiter((_IDS.get(c) or char_class(_plain(c)) for c in text), dtype=np.int16, count=len(text))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
