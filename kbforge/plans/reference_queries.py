@@ -59,19 +59,26 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 # --- sanitize (SAN) ---
 
 
+# RE2 knows word edges of ASCII letters only. Decimal digits of other scripts are read as ASCII digits, and host names
+# get their edges spelled out.
+_T = "translate(coalesce(text, ''), '\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669', '0123456789')"
+_WORDS = r"\p{L}\p{M}\p{Nd}\p{Pc}"
+
+
+def _re2_of(c: str) -> tuple[str, str]:
+    """Pattern and what to put around the placeholder."""
+    p = re2({**sanitize.PATTERNS, **sanitize.CLIENT_PATTERNS}[c])
+    return (f"(^|[^{_WORDS}]){p[2:]}", r"\1{}") if c == "domain" else (p, "{}")
+
+
 def _redact_sql(tier: str) -> str:
-    expr = "coalesce(text, '')"
-    for c, p in [*sanitize.PATTERNS.items(), *sanitize.CLIENT_PATTERNS.items()]:
-        if c in sanitize.PATTERNS and c not in sanitize.SECRETS and c not in sanitize.TIERS[tier]:
-            continue
-        tag = f"[REDACTED_{c.upper()}]" if c in sanitize.PATTERNS else "[REDACTED_CLIENT]"
-        expr = f"CASE WHEN regexp_matches(t, {q(re2(p))}) THEN regexp_replace(x, {q(re2(p))}, {q(tag)}, 'g') ELSE x END AS x" if expr is None else expr
-    steps = [("s0", "SELECT doc_id, coalesce(text, '') AS t, coalesce(text, '') AS x FROM documents")]
-    for c, p in [*sanitize.PATTERNS.items(), *sanitize.CLIENT_PATTERNS.items()]:
+    steps = [("s0", f"SELECT doc_id, {_T} AS t, {_T} AS x FROM documents")]
+    for c in [*sanitize.PATTERNS, *sanitize.CLIENT_PATTERNS]:
         if c in sanitize.PATTERNS and c not in sanitize.SECRETS and c not in sanitize.TIERS[tier]:
             continue
-        tag = f"[REDACTED_{c.upper()}]" if c in sanitize.PATTERNS else "[REDACTED_CLIENT]"
-        steps.append((f"s{len(steps)}", f"SELECT doc_id, t, CASE WHEN regexp_matches(t, {q(re2(p))}) THEN regexp_replace(x, {q(re2(p))}, {q(tag)}, 'g') ELSE x END AS x FROM s{len(steps) - 1}"))
+        p, around = _re2_of(c)
+        tag = around.format(f"[REDACTED_{c.upper()}]" if c in sanitize.PATTERNS else "[REDACTED_CLIENT]")
+        steps.append((f"s{len(steps)}", f"SELECT doc_id, t, CASE WHEN regexp_matches(t, {q(p)}) THEN regexp_replace(x, {q(p)}, {q(tag)}, 'g') ELSE x END AS x FROM s{len(steps) - 1}"))
     return "WITH " + ", ".join(f"{n} AS ({s})" for n, s in steps) + f" SELECT doc_id, x AS sanitized FROM s{len(steps) - 1}"
 
 
@@ -85,7 +92,7 @@ def _sanitize(tier: str):
 for _tier in sanitize.TIERS:
     QUERIES[f"sanitize_{_tier}"], SQL[f"sanitize_{_tier}"] = _sanitize(_tier), _redact_sql(_tier)
 
-_COUNTS = {c: f"len(regexp_extract_all(coalesce(text, ''), {q(re2(p))}))" for c, p in [*sanitize.PATTERNS.items(), *sanitize.CLIENT_PATTERNS.items()]}
+_COUNTS = {c: f"len(regexp_extract_all({_T}, {q(_re2_of(c)[0])}))" for c in [*sanitize.PATTERNS, *sanitize.CLIENT_PATTERNS]}
 _DETECTED = "list_filter([" + ", ".join(f"CASE WHEN {n} > 0 THEN '{c}: ' || {n} || ' occurrences' END" for c, n in _COUNTS.items()) + "], lambda x: x IS NOT NULL)"
 
 
@@ -118,7 +125,7 @@ def review_flag(spark, d):
     return _docs(spark, d).select("doc_id", sanitize.requires_review(F.col("file_path"), F.col("text"), found).alias("review"))
 
 
-_FAILS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), {q(re2(p))}) THEN {q(t)} END" for p, t, _ in sanitize.VALIDATION) + "], lambda x: x IS NOT NULL), '; ')"
+_FAILS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({_T}, {q(re2(p))}) THEN {q(t)} END" for p, t, _ in sanitize.VALIDATION) + "], lambda x: x IS NOT NULL), '; ')"
 
 
 @query(f"SELECT doc_id, {_FAILS} AS failures FROM documents")
