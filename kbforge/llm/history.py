@@ -1,7 +1,7 @@
 """Deduplicating new batches against all accepted history.
 
 Every text becomes a sparse vector: its coordinates are the five-word shingles that are smallest in a window of
-five consecutive ones (of words in lower case), so equal runs of nine words always share a coordinate. The persisted
+eight consecutive ones (of words in lower case), so equal runs of twelve words always share a coordinate. The persisted
 index holds one inverted list (cell) per coordinate and the full word vector of one text per class of equal
 word sequences; a batch reads cells, never the history's texts, and appends to both.
 
@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 
 from kbforge.runtime import Scratch, broadcast_if_small
 
-SHINGLE, WINDOW = 5, 5
-SKIP, NEED = 0.15, 0.20
+SHINGLE, WINDOW = 5, 8
+SKIP, NEED = 0.25, 0.35
+MOST_HOT = 1 << 20
 LEAST_COMMON = 0.72
 _WORD = re.compile(r"[^\W_]+")
 _FEATURES = "id long, sha string, form string, words array<int>, coords array<long>"
-_DOCS = "id long, sha string, form string, words array<int>"
 
 
 def coordinates(words: np.ndarray) -> np.ndarray:
@@ -110,74 +110,113 @@ def _rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[good, ["qid", "id"]]
 
 
+def _prefix(hot: np.ndarray, sizes: np.ndarray, buckets: int):
+    """Maps texts (id, coords) to the cells they have to probe (qid, n, cell): rarest first, without the share SKIP of the most common."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids, ns, cells = [], [], []
+            for i, c in zip(pdf["id"], pdf["coords"], strict=True):
+                c = np.asarray(c, dtype=np.int64)
+                size = np.zeros(len(c), dtype=np.int64)
+                if len(hot):
+                    b = c % buckets
+                    at = np.minimum(np.searchsorted(hot, b), len(hot) - 1)
+                    size = np.where(hot[at] == b, sizes[at], 0)
+                keep = max(1, int(np.ceil(len(c) * (1 - SKIP))))
+                c = c[np.lexsort((c, size))[:keep]]
+                ids.append(np.full(len(c), i, dtype=np.int64))
+                ns.append(np.full(len(c), len(pdf["coords"].iloc[len(ns)]), dtype=np.int32))
+                cells.append(c)
+            if ids:
+                yield pd.DataFrame({"qid": np.concatenate(ids), "n": np.concatenate(ns), "cell": np.concatenate(cells)})
+
+    return run
+
+
 class History:
-    """The persisted index: tables docs (id, sha, form, words of the class's first text) and cells (cell, id) under path."""
+    """The persisted index under path: per batch a part of docs (id, sha, form, words, coords) and of cells (cell, id).
+
+    Only the first text of every class of equal word sequences has cells. A part counts once its mark is written, so an update
+    that fails leaves the index as it was.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-        self.filled = False
+        fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in self._fs.listStatus(fs_path)] if self._fs.exists(fs_path) else []
+        self.parts = sorted(int(n[4:]) for n in names if n.startswith("_ok-"))
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        if not self.filled:
+        if not self.parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}/part={k}" for k in self.parts])
 
     def docs(self) -> DataFrame:
-        return self._read("docs", _DOCS)
+        return self._read("docs", _FEATURES)
 
     def cells(self) -> DataFrame:
         return self._read("cells", "cell long, id long")
 
     def add(self, docs: DataFrame) -> None:
-        """Append documents (id, content) without checking them, e.g. a history accepted earlier."""
-        self._append(self._classed(self._vectors(docs)))
-
-    def _vectors(self, docs: DataFrame) -> DataFrame:
-        clean = docs.where("content is not null").groupBy("id").agg(F.min("content").alias("content")).withColumn("sha", F.sha2("content", 256))
-        return Scratch(self.spark, "history").cut(clean.mapInPandas(_features, _FEATURES))
-
-    def _classed(self, f: DataFrame) -> DataFrame:
-        """Add cid: the smallest id, in the index or the batch, of a text with the same words."""
-        forms = self.docs().select("form", "id").unionByName(f.select("form", "id")).where("form != ''").groupBy("form").agg(F.min("id").alias("cid"))
-        return f.join(forms, "form", "left").withColumn("cid", F.coalesce("cid", "id"))
-
-    def _append(self, classed: DataFrame) -> None:
-        first = F.col("id") == F.col("cid")
-        classed.select("id", "sha", "form", F.when(first, F.col("words")).alias("words")).write.mode("append").parquet(f"{self.path}/docs")
-        classed.where(first).select(F.explode("coords").alias("cell"), "id").write.mode("append").parquet(f"{self.path}/cells")
-        self.filled = True
+        """Append documents (id, content) with distinct ids without checking them, e.g. a history accepted earlier."""
+        f, k = self._vectors(docs)
+        self._commit(k, self._firsts(f, self._classes(f)))
+
+    def _vectors(self, docs: DataFrame) -> tuple[DataFrame, int]:
+        """The batch's vectors, stored as the next part (which counts only after _commit)."""
+        k = self.parts[-1] + 1 if self.parts else 0
+        clean = docs.where("content is not null").withColumn("sha", F.sha2("content", 256))
+        clean.mapInPandas(_features, _FEATURES).write.mode("overwrite").parquet(f"{self.path}/docs/part={k}")
+        return self.spark.read.schema(_FEATURES).parquet(f"{self.path}/docs/part={k}"), k
+
+    def _classes(self, f: DataFrame) -> DataFrame:
+        """(form, cid): the smallest id of index and batch for every word sequence of the batch."""
+        both = self.docs().select("form", "id", F.lit(False).alias("new")).unionByName(f.select("form", "id", F.lit(True).alias("new")))
+        return both.where("form != ''").groupBy("form").agg(F.min("id").alias("cid"), F.max("new").alias("new")).where("new").select("form", "cid")
+
+    def _firsts(self, f: DataFrame, classes: DataFrame) -> DataFrame:
+        """Texts of the batch that are the first of their class; only ids move if the repeats are few enough to broadcast."""
+        later = f.select("id", "form").join(classes, "form").where(F.col("id") != F.col("cid")).select("id")
+        return f.where("form != ''").join(broadcast_if_small(later, 1_000_000), "id", "left_anti")
+
+    def _commit(self, k: int, firsts: DataFrame) -> None:
+        firsts.select(F.explode("coords").alias("cell"), "id").write.mode("overwrite").parquet(f"{self.path}/cells/part={k}")
+        self._fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_ok-{k}")).close()
+        self.parts.append(k)
 
     def check(self, docs: DataFrame) -> DataFrame:
         """(id, match) of the documents (id, content) that repeat a smaller id of the index or the batch; the batch is appended."""
         s = Scratch(self.spark, "check")
-        f = s.cut(self._classed(self._vectors(docs)))
+        f, k = self._vectors(docs.where("content is not null").groupBy("id").agg(F.min("content").alias("content")))
+        classes = s.cut(self._classes(f), "classes")
+        firsts = self._firsts(f, classes)
+        thin = f.select("id", "sha", "form").join(classes, "form", "left").withColumn("cid", F.coalesce("cid", "id"))
         shas = self.docs().select("sha", "id").unionByName(f.select("sha", "id")).groupBy("sha").agg(F.min("id").alias("first"))
-        new_reps = f.where((F.col("id") == F.col("cid")) & (F.size("coords") > 0))
-        matched = self._matched(new_reps, s)
-        self_words = f.select("id", "cid", "sha").join(shas, "sha").join(matched, F.col("cid") == F.col("qid"), "left")
+        matched = self._matched(firsts, s)
+        rows = thin.join(shas, "sha").join(matched, F.col("cid") == F.col("qid"), "left")
         kind = F.when(F.col("first") < F.col("id"), "exact").when((F.col("cid") < F.col("id")) | F.col("qid").isNotNull(), "near")
-        out = s.cut(self_words.select("id", kind.alias("match")).where("match is not null"))
-        self._append(f)
+        out = s.cut(rows.select("id", kind.alias("match")).where("match is not null"))
+        self._commit(k, firsts)
         return out
 
-    def _matched(self, reps: DataFrame, s: Scratch) -> DataFrame:
+    def _matched(self, firsts: DataFrame, s: Scratch) -> DataFrame:
         """qid of the class firsts of the batch that are close to a text with a smaller id."""
-        own = reps.select(F.explode("coords").alias("cell"), "id")
-        cells = self.cells().unionByName(own)
-        total, n = cells.count(), reps.count()
-        if not n:
+        cells = self.cells().unionByName(firsts.select(F.explode("coords").alias("cell"), "id"))
+        total = cells.count()
+        if not total:
             return self.spark.createDataFrame([], "qid long")
-        # Counts per hash bucket are upper bounds of the cells' sizes; at most 1/16 of the buckets can be hot.
-        buckets = 1 << max(12, min(24, (max(total // 64, 1)).bit_length()))
-        bucket = F.pmod(F.col("cell"), F.lit(buckets))
-        hot = s.cut(cells.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("size")).where(F.col("size") > 16 * (total / buckets) + 64), "hot")
-        q = reps.select(F.col("id").alias("qid"), F.size("coords").alias("n"), F.explode("coords").alias("cell")).withColumn("bucket", bucket)
-        q = q.join(broadcast_if_small(hot, 1 << 20), "bucket", "left")
-        ordered = q.groupBy("qid", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "cell"))).alias("c"))
-        probes = ordered.select("qid", "n", F.explode(F.expr(f"slice(c, 1, greatest(1, cast(ceil(n * {1 - SKIP}) as int)))")).alias("x")).select("qid", "n", "x.cell")
+        # Counts per hash bucket bound the cells' sizes from above. At most total / least of the buckets are hot.
+        buckets = 1 << max(12, min(26, (max(total // 16, 1)).bit_length()))
+        least = max(8 * (total // buckets) + 32, total // MOST_HOT + 1)
+        sizes = cells.groupBy(F.pmod("cell", F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("size")).where(F.col("size") > least).toPandas()  # at most MOST_HOT rows
+        sizes = sizes.sort_values("bucket")
+        probe = _prefix(sizes["bucket"].to_numpy(np.int64), sizes["size"].to_numpy(np.int64), buckets)
+        probes = firsts.select("id", "coords").mapInPandas(probe, "qid long, n int, cell long")
         hits = probes.join(cells, "cell").where(F.col("id") < F.col("qid")).groupBy("qid", "id").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
         pairs = s.cut(hits.where(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.col("n") * (NEED - SKIP)))).select("qid", "id"), "pairs")
-        words = self.docs().where("words is not null").select("id", "words").unionByName(reps.select("id", "words"))
+        words = self.docs().select("id", "words").unionByName(firsts.select("id", "words"))
         ids = broadcast_if_small(pairs.select("id").union(pairs.select("qid")).distinct(), 500_000)
         used = s.cut(words.join(ids, "id", "left_semi"), "words")
         both = pairs.join(used, "id").join(used.select(F.col("id").alias("qid"), F.col("words").alias("words2")), "qid")
