@@ -1,0 +1,62 @@
+"""Progress events of indexing, their sinks, and the last event per stage."""
+
+from __future__ import annotations
+
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+@dataclass
+class Progress:
+    stage: str
+    message: str = ""
+    current: int = 0
+    total: int = 0
+    file_path: str | None = None
+    error: str | None = None
+
+    @property
+    def percentage(self) -> float:
+        return round(100 * self.current / self.total, 1) if self.total else 0.0
+
+    def row(self) -> dict:
+        return asdict(self) | {"percentage": self.percentage}
+
+
+class Notifier:
+    """Ignores everything; the base of the others."""
+
+    def notify(self, event: Progress) -> None:
+        pass
+
+
+class Console(Notifier):
+    def notify(self, event: Progress) -> None:
+        done = int(20 * event.percentage / 100)
+        print(f"[{'#' * done}{'.' * (20 - done)}] {event.stage}: {event.message}")
+
+
+class Composite(Notifier):
+    """Passes events on; a failing sink doesn't stop the others."""
+
+    def __init__(self, sinks: list[Notifier]) -> None:
+        self.sinks = sinks
+
+    def notify(self, event: Progress) -> None:
+        for s in self.sinks:
+            try:
+                s.notify(event)
+            except Exception as e:
+                print(f"notifier {type(s).__name__}: {e}")
+
+
+def from_config(section: dict | None) -> Notifier:
+    if not section:
+        return Notifier()
+    return Composite([Console()] if section.get("console", {}).get("enabled", True) else [])
+
+
+def last_per_stage(events: DataFrame) -> DataFrame:
+    return events.groupBy("stage").agg(F.max_by(F.struct(*[c for c in events.columns if c != "stage"]), "seq").alias("e")).select("stage", "e.*")
