@@ -34,7 +34,9 @@ class Trees:
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.3, bins: int = 32, ridge: float = 1.0) -> Trees:
     n, d = x.shape
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
+    # Features of few values are cut between them, so that a rare value of a flag can be told apart.
+    values = [np.unique(x[:, j]) for j in range(d)]
+    cuts = [(v[1:] + v[:-1]) / 2 if len(v) <= bins else np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j, v in enumerate(values)]
     binned = np.column_stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)])
     p0 = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     bias = np.log(p0 / (1 - p0))

@@ -136,7 +136,7 @@ def node_features(text: str, nodes: list[Node], md_suffix: bool, only: list[int]
         attrs = len(inner.split()) if NAMES[n.kind] in ("html_tag", "tex_command") else inner.count("|") + inner.count(":")
         span = n.end - n.start
         letters = sum(c.isalpha() for c in inner[:200])
-        known = n.name.lower() in HTML_NAMES if NAMES[n.kind] == "html_tag" else n.name in TEX_NAMES if NAMES[n.kind] == "tex_command" else n.name[:1] == "#" or n.name.lower() in html.entities.name2codepoint if NAMES[n.kind] == "html_entity" else inner not in PYTHON_NAMES if NAMES[n.kind] == "md_strong" else True
+        known = n.name.lower() in HTML_NAMES if NAMES[n.kind] == "html_tag" else n.name in TEX_NAMES if NAMES[n.kind] == "tex_command" else n.name[:1] == "#" or n.name.lower() in html.entities.name2codepoint if NAMES[n.kind] == "html_entity" else not (text[n.start] == "_" and inner in PYTHON_NAMES) if NAMES[n.kind] == "md_strong" else True
         x[r] = (
             n.kind, _FAMILY[n.kind], np.log1p(span), len(inner) / max(1, span), np.log1p(attrs), n.depth, np.log1p(siblings[(n.parent, n.kind)]),
             np.log1p(kinds[n.kind]), np.log1p(families[_FAMILY[n.kind]]), distinct[_FAMILY[n.kind]], _char(text, n.start - 1), _char(text, n.end),
@@ -157,7 +157,7 @@ def label(text: str, n: Node) -> bool:
     if kind == "html_entity":
         return n.name[0] == "#" or n.name.lower() in html.entities.name2codepoint
     if kind == "md_strong":
-        return inner not in PYTHON_NAMES
+        return not (text[n.start] == "_" and inner in PYTHON_NAMES)
     if kind == "md_emphasis":
         return not (text[n.start] == "_" and re.search(r"[/.(]", inner)) and not re.fullmatch(r"[\d\s=+.]+", inner)
     if kind == "tex_inline":
@@ -301,11 +301,16 @@ def clean(text: str, nodes: list[Node], keep: list[bool]) -> str:
 def fit_model(rows: list[tuple[str, str | None]], path: str = MODEL) -> Trees:
     """Fit and store the trees on (text, file_path) rows; only the first SAMPLE_DOCUMENTS are used."""
     xs, ys = [], []
+    sample = list(rows[:SAMPLE_DOCUMENTS])
+    # Short cuttings around some nodes, so that the trees also see texts that hold a single sign.
     for text, file_path in rows[:SAMPLE_DOCUMENTS]:
+        for n in parse(text)[::9][:4]:
+            sample.append((text[max(0, n.start - 40) : n.end + 40], file_path))
+    for text, file_path in sample:
         nodes = parse(text)
         xs.append(node_features(text, nodes, (file_path or "").endswith(".md")))
         ys += [label(text, n) for n in nodes]
-    trees = fit(np.concatenate(xs), np.array(ys, dtype=float))
+    trees = fit(np.concatenate(xs), np.array(ys, dtype=float), rounds=60)
     os.makedirs(os.path.dirname(path), exist_ok=True)
     trees.save(path)
     model.cache_clear()
