@@ -188,8 +188,8 @@ def decode(text: str, nodes: list[Node], odds: np.ndarray) -> list[bool]:
         if n.parent >= 0 and (inside[n.parent] or keep[n.parent] and nodes[n.parent].kind in _CONTAINER):
             inside[j] = True
             keep[j] = False
-        elif keep[j] and NAMES[n.kind] == "html_tag" and text.startswith("</", n.start) and n.name.lower() not in open_tags:
-            keep[j] = n.name.lower() in HTML_NAMES
+        elif NAMES[n.kind] == "html_tag" and text.startswith("</", n.start):
+            keep[j] = n.name.lower() in open_tags or keep[j] and n.name.lower() in HTML_NAMES
     return keep.tolist()
 
 
