@@ -3,12 +3,15 @@
 Every text becomes a sparse vector: its coordinates are the five-word shingles that are smallest in a window of
 eight consecutive ones (of words in lower case), so equal runs of twelve words always share a coordinate. The persisted
 index holds one inverted list (cell) per coordinate and the full word vector of one text per class of equal
-word sequences; a batch reads cells, never the history's texts, and appends to both.
+word sequences; a batch reads cells and word vectors, never the history's texts, and appends to both.
 
-Probing: a query's cells are ordered rarest first. Once the cells not yet probed hold too little of the vector for a text seen in
-none of the earlier cells to be close enough, the rest need no probe; this bound leaves out the query's most common cells (boilerplate).
-A text close enough has at least NEED of the query's coordinates, so at least NEED - SKIP of them among those probed; only
-such texts are reranked, exactly, by the longest common subsequence of the two word vectors.
+Close texts have at least LEAST_COMMON of the longer one's words in common order. They are found in two steps:
+* Probing, a shortcut that sees only part of the close texts: a query's cells are ordered rarest first, the share SKIP of the most common
+  ones (boilerplate) is left out, and texts in at least NEED - SKIP of the others are compared exactly, by the longest common
+  subsequence of the two word vectors.
+* Every query that probing matched to nothing is compared with all word vectors. The bound here holds for any two texts: a text b close to a
+  query of n words lacks at most n - LEAST_COMMON * max(n, m) of its words (counted with repeats), m being b's number of words; so of any
+  s words of the query, b has at least s less that number. Counting only the s rarest words spares most of the work and loses no text.
 
 Defined results: null contents are no documents; empty contents can only be exact repeats; contents with the same words are `near`
 (or `exact` if byte for byte equal) whatever their case, white space and punctuation; ids repeated in a batch are one document;
@@ -34,6 +37,9 @@ SHINGLE, WINDOW = 5, 8
 SKIP, NEED = 0.25, 0.35
 MOST_HOT = 1 << 20
 LEAST_COMMON = 0.72
+#: Share of a query's words counted beyond those a close text may lack; any value gives the same texts. Queries a block, words a chunk.
+EXTRA = 0.3
+BLOCK_TEXTS, CHUNK_WORDS = 4096, 1 << 21
 _WORD = re.compile(r"[^\W_]+")
 _FEATURES = "id long, sha string, form string, words array<int>, coords array<long>"
 
@@ -110,6 +116,60 @@ def _rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[good, ["qid", "id"]]
 
 
+def _numbered_words(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of every word of the texts, by text; the key holds the word and how often it came before in its text."""
+    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+    flat = np.concatenate([*words, np.zeros(0, dtype=np.int32)]).astype(np.int64) & 0xFFFFFFFF
+    order = np.lexsort((flat, row))
+    flat, at = flat[order], np.arange(len(flat))
+    first = np.ones(len(flat), dtype=bool)
+    first[1:] = (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])
+    return row, flat << 24 | (at - np.maximum.accumulate(np.where(first, at, 0)))
+
+
+def _compare(qids: list[int], queries: list[np.ndarray]):
+    """Maps texts (id, words) to the queries (qid) that are close to one of them with a smaller id."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends = np.cumsum([0, *map(len, queries)])
+        keys = _numbered_words(queries)[1]
+        left = set(range(len(qids)))
+        for pdf in batches:
+            part = np.cumsum([len(w) for w in pdf["words"]]) // CHUNK_WORDS
+            for _, chunk in pdf.groupby(part):
+                ids, words = chunk["id"].to_numpy(), [np.asarray(w, dtype=np.int32) for w in chunk["words"]]
+                sizes = np.array([len(w) for w in words])
+                row, key = _numbered_words(words)
+                order = np.argsort(key, kind="stable")
+                texts = row[order]
+                known, start = np.unique(key[order], return_index=True)
+                stop = np.append(start[1:], len(texts))
+                if not len(known):
+                    continue
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                count = np.where(known[at] == keys, stop[at] - start[at], 0)
+                found = []
+                for i in left:
+                    own, held = at[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]]
+                    n = len(own)
+                    if np.count_nonzero(held == 0) > n * (1 - LEAST_COMMON) + 1e-6:
+                        continue
+                    s = min(n, int(n * (1 - LEAST_COMMON + EXTRA)) + 1)
+                    rare = np.argpartition(held, s - 1)[:s]
+                    rare = own[rare[held[rare] > 0]]
+                    if not len(rare):
+                        continue
+                    hits = np.bincount(np.concatenate([texts[a:b] for a, b in zip(start[rare].tolist(), stop[rare].tolist(), strict=True)]), minlength=len(ids))
+                    maybe = np.flatnonzero((hits >= s - n + LEAST_COMMON * np.maximum(n, sizes) - 1e-6) & (ids < qids[i]))
+                    q = queries[i].tolist()
+                    if any(close(q, words[j].tolist()) for j in maybe[np.argsort(-hits[maybe], kind="stable")]):
+                        found.append(i)
+                left.difference_update(found)
+                yield pd.DataFrame({"qid": np.array([qids[i] for i in found], dtype=np.int64)})
+
+    return run
+
+
 def _prefix(hot: np.ndarray, sizes: np.ndarray, buckets: int):
     """Maps texts (id, coords) to the cells they have to probe (qid, n, cell): rarest first, without the share SKIP of the most common."""
 
@@ -220,7 +280,19 @@ class History:
         ids = broadcast_if_small(pairs.select("id").union(pairs.select("qid")).distinct(), 500_000)
         used = s.cut(words.join(ids, "id", "left_semi"), "words")
         both = pairs.join(used, "id").join(used.select(F.col("id").alias("qid"), F.col("words").alias("words2")), "qid")
-        return both.mapInPandas(_rerank, "qid long, id long").select("qid").distinct()
+        probed = s.cut(both.mapInPandas(_rerank, "qid long, id long").select("qid").distinct(), "probed")
+        return probed.unionByName(self._rest(firsts.select("id", "words").join(probed, F.col("id") == F.col("qid"), "left_anti"), words, s))
+
+    def _rest(self, queries: DataFrame, words: DataFrame, s: Scratch) -> DataFrame:
+        """qid of the queries (id, words) that are close to one of the words (id, words) with a smaller id, in blocks compared with all of them."""
+        queries = s.cut(queries, "left")
+        blocks, at = -(-queries.count() // BLOCK_TEXTS), s.path("rest")
+        block = F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.lit(blocks) / F.lit(1 << 20))
+        for n in range(blocks):
+            rows = queries.where(block == n).collect()  # about BLOCK_TEXTS texts
+            run = _compare([r["id"] for r in rows], [np.array(r["words"], dtype=np.int32) for r in rows])
+            words.where("size(words) > 0").mapInPandas(run, "qid long").write.mode("append").parquet(at)
+        return self.spark.read.schema("qid long").parquet(at).distinct() if blocks else self.spark.createDataFrame([], "qid long")
 
 
 def accepted(kb: DataFrame) -> DataFrame:

@@ -109,6 +109,22 @@ def test_history_batches_equal_one_pass(spark, tmp_path):
     assert run("none", [docs[:0]]) == {}
 
 
+def test_history_finds_scattered_edits_in_a_large_group(spark, tmp_path):
+    """Near copies at the four-fifths border, every fifth word changed, so that no run of five words stays."""
+    r = random.Random(16)
+    words = [f"w{i}" for i in range(400)]
+    old = [r.choice(words) for _ in range(100)]
+    change = lambda k, start: " ".join(f"x{r.randrange(10**9)}" if j % k == start else w for j, w in enumerate(old))
+    near = [change(5, i % 5) for i in range(1000)] + ["w1 w2 w3 w4"]
+    far = [change(3, i % 3) for i in range(20)]
+    hist = spark.createDataFrame([(-1, " ".join(old)), (-2, "w1 w2 w3 w4 w5")], "id long, content string")
+    docs = [(i, t) for i, t in enumerate(near + far)]
+    h = history.History(spark, str(tmp_path / "group"))
+    h.add(hist)
+    got = {x["id"]: x["match"] for x in h.check(spark.createDataFrame(docs, "id long, content string")).collect()}
+    assert got == dict.fromkeys(range(len(near)), "near")
+
+
 def test_common_subsequence():
     r = random.Random(7)
     for _ in range(50):
