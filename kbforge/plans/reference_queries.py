@@ -374,6 +374,13 @@ def cosine_similarity(spark, d):
     return a.join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("b"), "label"), "label").select("query_id", "id", F.round(search.cosine(F.col("a"), F.col("b")), 5).alias("cosine"))
 
 
+@query("SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 20 = 0 WHERE a.embedding IS NOT NULL AND b.vec_id IS NOT NULL AND b.embedding IS NOT NULL")
+def cosine_similarity_all(spark, d):
+    e = table(spark, d, "embeddings")
+    qs = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), "label")
+    return search.cosine_pairs(qs, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label"))
+
+
 def _queries(spark, d):
     return table(spark, d, "errors").where("row_id % 20 = 0 and error_message is not null").select(F.col("row_id").alias("query_id"), F.col("error_message").alias("text"))
 

@@ -193,6 +193,17 @@ def test_vector_blocks_match_brute_force(spark, monkeypatch):
     assert search.vector_topk(qs.limit(0), base, 5).count() == 0
 
 
+def test_cosine_compares_queries_with_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_ROWS", 7)
+    got = {(x["query_id"], x["id"]): x["cosine"] for x in entry.queries()["cosine_similarity_all"](spark, SMALL).collect()}
+    want = duckdb.sql(entry.oracle_sql()["cosine_similarity_all"].replace("FROM embeddings a JOIN embeddings b", f"FROM '{SMALL}/embeddings.parquet' a JOIN '{SMALL}/embeddings.parquet' b")).fetchall()
+    assert got == {(a, b): pytest.approx(c, abs=2e-5) for a, b, c in want} and len(want) == len(got)
+    assert any(i % 20 for _, i in got)
+    zero = spark.createDataFrame([(1, [0.0, 0.0], 0), (2, [1.0, 1.0], 0), (3, None, 0), (4, [1.0, 0.0], None), (None, [1.0, 0.0], 0)], "id long, vec array<float>, label int")
+    pairs = search.cosine_pairs(zero.toDF("query_id", "qvec", "label"), zero)
+    assert sorted(map(tuple, pairs.collect())) == [(1, 1, 0.0), (1, 2, 0.0), (2, 1, 0.0), (2, 2, 1.0)]
+
+
 def test_fusion_edges(spark):
     v = spark.createDataFrame([(1, "a", 1), (1, None, 2), (1, "b", 3), (2, "z", 1)], "query_id int, id string, search_rank int")
     b = spark.createDataFrame([(1, "b", 1), (1, "c", 2)], "query_id int, id string, search_rank int")
