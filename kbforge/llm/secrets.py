@@ -29,6 +29,14 @@ PASSWORD_WORDS = frozenset("password passwd pwd pass passphrase passwort kennwor
 SECRET_WORDS = PASSWORD_WORDS | frozenset("secret token apikey auth authorization key credential credentials bearer signature pat jwt sas conn".split())
 HARMLESS_WORDS = frozenset("name file path dir url uri ttl length min max count limit len type kind public pub pubkey policy size expiry expires ring rotation schema sort cache primary foreign map board id ids fingerprint digest sha256 sha1 md5 checksum hash sum version rev format hint prompt label field column header".split())
 _GATE = re.compile(r"(?i)pass|pwd|mdp|secret|token|key|conn|auth|cred|clave|contrase|kennwort|jwt|hooks?[.-]|://[^\s/:@]*:[^\s/@]+@|AKIA|bearer|\b[a-z]{2,5}_[a-z]{2,5}_\w{16}|xox[a-z]-|gh[a-z]_|glpat-|npm_|eyJ|\s-u\s")
+# Signs of the rules below that the gate lacks: (literal to look for first, in lower case or as written; pattern).
+_SIGNS_LOWER = [("signature", re.compile(r"(?i)signature")), ("basic", re.compile(r"(?i)basic\s")), ("hook", re.compile(r"(?i)hook[\w.-]*/"))]
+_SIGNS = [(x, re.compile(x + y)) for x, y in (("ASIA", "[A-Z0-9]"), ("AIza", r"[\w-]"), ("SG", r"\.[\w-]"), ("k_live_", ""), ("k_test_", ""), ("_pat_", ""), ("-u=", ""), ("--user", r"[\s=]"))]
+for _w in ("pat", "sas"):
+    for _k in range(4):  # the spellings of a word that _SPLIT keeps whole
+        _x = _w[:_k].upper() + _w[_k:]
+        _before = rf"(?<![A-Za-zÀ-ÿ0-9]{_x})" if _k == 0 else rf"(?<![A-ZÀ-Þ]{_x})"
+        _SIGNS.append((_x, re.compile(_x + _before + ("(?![A-Za-zÀ-ÿ0-9])" if _k == 3 else "(?![a-zà-ÿ0-9])"))))
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _LOGIN = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://([^\s/:@'\"<>]*):([^\s/@'\"<>]+)@[\w\[]", re.I)
 _HEADER = re.compile(r"(?i)\b(?:authorization|x-auth-token|x-api-key|private-token|x-[a-z-]*(?:token|key|secret))\b['\"]?\s*[:=,]\s*['\"]?\s*(?:(?:basic|bearer|token|apikey)\s+)?([^\s'\",;<>]{8,})")
@@ -51,11 +59,13 @@ _UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{1
 
 
 def chars_per_token(s: str, vocabulary: str = VOCABULARY) -> float:
-    return len(s) / max(1, len(encoder(vocabulary).encode_ordinary(s)))
+    """Over the whole string, in pieces of bounded length."""
+    e = encoder(vocabulary)
+    return len(s) / max(1, sum(len(e.encode_ordinary(s[at : at + 400])) for at in range(0, len(s), 400)))
 
 
 def unnatural(s: str, least: int = 12) -> bool:
-    return len(s) >= least and chars_per_token(s[:400]) < CHARS_PER_TOKEN and len(set(s)) > 5
+    return len(s) >= least and chars_per_token(s) < CHARS_PER_TOKEN and len(set(s)) > 5
 
 
 def _words(name: str) -> list[str]:
@@ -89,7 +99,7 @@ def _named(m: re.Match) -> tuple[int, int] | None:
     if telling:
         mixed = bool(re.search(r"\d", value)) + bool(re.search(r"[A-Z]", value)) + bool(re.search(r"[^A-Za-z0-9]", value))
         code = not quoted and re.search(r"[.(\[]|^[a-z_]+$|^[A-Z_]+$|^\d+$", value) and not re.search(r"\d.*[^\w.]|[^\w.].*\d", value)
-        if 6 <= len(value) <= 200 and not code and (mixed >= 2 or mixed and (quoted or unnatural(value, 8)) or quoted and unnatural(value, 8)) and not re.search(r"\s", value) and not re.fullmatch(r"\d{1,5}", value):
+        if len(value) >= 6 and not code and (mixed >= 2 or mixed and (quoted or unnatural(value, 8)) or quoted and unnatural(value, 8)) and not re.search(r"\s", value) and not re.fullmatch(r"\d{1,5}", value):
             return at, at + len(value)
         if quoted and len(value) >= 12 and re.fullmatch(r"[a-z]+(?:[ -][a-z]+){2,}", value) and words[-1] in ("passphrase",):
             return at, at + len(value)
@@ -138,12 +148,13 @@ def spans(line: str) -> list[tuple[int, int]]:
 
 def _hits(text: str) -> Iterator[tuple[int, int, int, str]]:
     """(line number, start, end of the line, line) of lines that pass the gate."""
-    at, no = 0, 1
-    for g in _GATE.finditer(text):
-        if g.start() < at:
+    at, no, low = 0, 1, text.lower()
+    signs = [r for x, r in _SIGNS_LOWER if x in low] + [r for x, r in _SIGNS if x in text]
+    for g in sorted(m.start() for r in [_GATE, *signs] for m in r.finditer(text)):
+        if g < at:
             continue
-        start = text.rfind("\n", 0, g.start()) + 1
-        end = text.find("\n", g.start())
+        start = text.rfind("\n", 0, g) + 1
+        end = text.find("\n", g)
         end = len(text) if end < 0 else end
         no += text.count("\n", max(0, at - 1) if at else 0, start) if at else text.count("\n", 0, start)
         yield no, start, end, text[start:end]

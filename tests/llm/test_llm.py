@@ -149,6 +149,18 @@ def test_secrets():
     assert secrets.chars_per_token("ordinary words here") > 3 > secrets.chars_per_token("kJrZkQbzXV8X7qTmWp2")
 
 
+def test_secrets_by_each_rule_alone():
+    """Lines whose only sign is a rule's own literal, and credentials longer than a few hundred characters."""
+    r = random.Random(17)
+    key = lambda n: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789") for _ in range(n))
+    alone = ["x = " + "AIza" + key(35), "x = " + "SG." + key(22) + "." + key(43), "id " + "ASIA" + key(16).upper(), f"curl --user bob:{key(12)} https://a.example/x", "pay " + "sk_" + "live_" + key(13), "x " + "abcdef" + "_pat_" + key(20)]
+    alone += [f"{name} = '{key(40)}'" for name in ("signature", "sas", "PAT", "githubPat", "AZURE_SAS")] + [f"'Basic {key(40)}'", f'password = "{key(201)}"', f'token = "{"documents-and-notes-" * 25}{key(4000)}"']
+    for g in alone:
+        assert secrets.lines("x\n" + g) == [2], g
+    for b in ("PATH=/usr/bin", "export pattern='abc'", "Asia/Tokyo", "basic training of the team", f"path = '{key(3)}'"):
+        assert secrets.lines(b) == [], b
+
+
 def test_trees_learn_and_markup():
     r = np.random.default_rng(8)
     x = r.random((800, 5))
