@@ -37,6 +37,7 @@ for _w in ("pat", "sas"):
         _x = _w[:_k].upper() + _w[_k:]
         _before = rf"(?<![A-Za-zÀ-ÿ0-9]{_x})" if _k == 0 else rf"(?<![A-ZÀ-Þ]{_x})"
         _SIGNS.append((_x, re.compile(_x + _before + ("(?![A-Za-zÀ-ÿ0-9])" if _k == 3 else "(?![a-zà-ÿ0-9])"))))
+_ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")  # as html.unescape reads them
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _LOGIN = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://([^\s/:@'\"<>]*):([^\s/@'\"<>]+)@[\w\[]", re.I)
 _HEADER = re.compile(r"(?i)\b(?:authorization|x-auth-token|x-api-key|private-token|x-[a-z-]*(?:token|key|secret))\b['\"]?\s*[:=,]\s*['\"]?\s*(?:(?:basic|bearer|token|apikey)\s+)?([^\s'\",;<>]{8,})")
@@ -146,6 +147,37 @@ def spans(line: str) -> list[tuple[int, int]]:
     return out
 
 
+def _unescaped(line: str) -> tuple[str, list[int], list[int]]:
+    """html.unescape(line), and where each of its characters starts and ends in the line."""
+    out, starts, ends, at = [], [], [], 0
+
+    def keep(a: int, b: int) -> None:
+        out.append(line[a:b])
+        starts.extend(range(a, b))
+        ends.extend(range(a + 1, b + 1))
+
+    for m in _ENTITY.finditer(line):
+        keep(at, m.start())
+        at, new = m.end(), html.unescape(m[0])
+        rest = 0  # what follows a reference without its semicolon stays as it is
+        while rest < (len(new) if new == m[0] else len(new) - 1) and new[-1 - rest] == m[0][-1 - rest]:
+            rest += 1
+        out.append(new[: len(new) - rest])
+        starts += [m.start()] * (len(new) - rest)
+        ends += [at - rest] * (len(new) - rest)
+        keep(at - rest, at)
+    keep(at, len(line))
+    return "".join(out), starts, ends
+
+
+def _line_spans(line: str) -> list[tuple[int, int]]:
+    """Spans of literal credentials in a line that may be HTML-escaped."""
+    if "&" not in line:
+        return spans(line)
+    plain, starts, ends = _unescaped(line)
+    return [(starts[a], ends[b - 1]) for a, b in spans(plain) if a < b]
+
+
 def _hits(text: str) -> Iterator[tuple[int, int, int, str]]:
     """(line number, start, end of the line, line) of lines that pass the gate."""
     at, no, low = 0, 1, text.lower()
@@ -165,7 +197,7 @@ def lines(text: str | None) -> list[int]:
     """Numbers of the lines that hold a literal credential."""
     out = []
     for no, _, _, line in _hits(text or ""):
-        if _PRIVATE.search(line) or spans(html.unescape(line) if "&" in line else line):
+        if _PRIVATE.search(line) or _line_spans(line):
             out.append(no)
     return out
 
@@ -176,7 +208,7 @@ def redact(text: str | None) -> str | None:
         return text
     chars = list(text)
     for _, start, _, line in _hits(text):
-        for a, b in spans(line):
+        for a, b in _line_spans(line):
             chars[start + a : start + b] = "X" * (b - a)
     for m in re.finditer(r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)(.*?)(?=-----END |\Z)", text, re.S):
         body = re.sub(r"\\[nr]|[A-Za-z0-9+/=]", lambda x: x[0] if x[0][0] == "\\" else "X", m[2])

@@ -161,6 +161,22 @@ def test_secrets_by_each_rule_alone():
         assert secrets.lines(b) == [], b
 
 
+def test_redaction_of_escaped_lines():
+    import html
+
+    for line, gone, kept in (
+        ("<pre>password = &quot;Chunk-skewed!76&quot;</pre>", "skewed", ("<pre>password = &quot;X", "X&quot;</pre>")),
+        ("password = &#34;Chunk&amp;skewed!76&#34; &lt;b&gt; &copyx &nosuch; &", "skewed", ("password = &#34;X", "X&#34; &lt;b&gt; &copyx &nosuch; &")),
+        ("password = &quot;&#59;Chunk-skewed!76&semi;&quot;", "skewed", ("password = &quot;XXXXXX", "XXXXXXX&quot;")),
+        ('a && password = "Chunk-skewed!76" && b', "skewed", ('a && password = "X', 'X" && b')),
+    ):
+        plain, starts, ends = secrets._unescaped(line)
+        assert plain == html.unescape(line) and len(plain) == len(starts) == len(ends)
+        red = secrets.redact("x\n" + line + "\ny")
+        assert secrets.lines(line) == [1] and gone not in red and len(red) == len(line) + 4
+        assert red.startswith("x\n" + kept[0]) and red.endswith(kept[1] + "\ny"), red
+
+
 def test_trees_learn_and_markup():
     r = np.random.default_rng(8)
     x = r.random((800, 5))
