@@ -30,12 +30,12 @@ def escape_literal(value: str) -> str:
     return value.replace("'", "''")
 
 
-def classify(docs: DataFrame, kb: DataFrame, cap: int = HASH_ROW_CAP) -> DataFrame:
+def classify(docs: DataFrame, kb: DataFrame, cap: int | None = HASH_ROW_CAP) -> DataFrame:
     """Add action to documents (content_hash, file_path): unchanged, moved, changed or new.
 
-    A hash held by `cap` rows or more counts as not found, so that the path rule decides. Null hashes or paths match nothing.
+    A hash held by `cap` rows or more counts as not found, so that the path rule decides; with cap None every hash is found. Null hashes or paths match nothing.
     """
-    held = kb.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.count("*").alias("_n")).where(F.col("_n") < cap).select("content_hash", F.lit(True).alias("_hash"))
+    held = kb.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.count("*").alias("_n")).where(F.col("_n") < cap if cap is not None else F.lit(True)).select("content_hash", F.lit(True).alias("_hash"))
     same = kb.select("content_hash", "file_path").where("content_hash is not null and file_path is not null").distinct().withColumn("_same", F.lit(True))
     paths = kb.select("file_path").where("file_path is not null").distinct().withColumn("_path", F.lit(True))
     d = docs.join(held, "content_hash", "left").join(same, ["content_hash", "file_path"], "left").join(paths, "file_path", "left")

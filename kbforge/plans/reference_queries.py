@@ -243,6 +243,20 @@ def dedup_apply(spark, d):
     return kb.reconcile(base, kb.classify(_incoming(spark, d), base), "2026-01-01T00:00:00").select("chunk_id", "file_path", "last_updated")
 
 
+_CLASSIFY_ALL = _CLASSIFY.replace(" HAVING count(*) < {cap}", "")
+
+
+@query(_CLASSIFY_ALL + " SELECT in_id, action FROM a")
+def dedup_classify_all(spark, d):
+    return kb.classify(_incoming(spark, d), table(spark, d, "knowledge_base"), cap=None).select("in_id", "action")
+
+
+@query(SQL["dedup_apply"].replace(_CLASSIFY.format(cap=10_000), _CLASSIFY_ALL))
+def dedup_apply_all(spark, d):
+    base = table(spark, d, "knowledge_base")
+    return kb.reconcile(base, kb.classify(_incoming(spark, d), base, cap=None), "2026-01-01T00:00:00").select("chunk_id", "file_path", "last_updated")
+
+
 _ORPHANS = "WITH o AS (SELECT file_path, count(*) AS chunks FROM knowledge_base WHERE file_path IS NOT NULL AND file_path NOT IN (SELECT file_path FROM incoming_docs WHERE file_path IS NOT NULL) GROUP BY 1)"
 
 

@@ -146,6 +146,22 @@ def test_reconcile_and_vacuum(spark):
     assert kb.escape_literal("it's") == "it''s"
 
 
+def test_dedup_of_a_hash_held_by_many_rows(spark, tmp_path):
+    """10 000 rows of one content: the capped queries keep the reference's rule, the others find it and delete nothing."""
+    h = duckdb.sql("select sha256('same')").fetchall()[0][0]
+    base = spark.range(10_000).select(F.col("id").cast("string").alias("chunk_id"), F.lit(h).alias("content_hash"), F.concat(F.lit("p"), (F.col("id") % 5).cast("string")).alias("file_path"), F.lit("t").alias("last_updated"))
+    base.write.parquet(f"{tmp_path}/knowledge_base.parquet")
+    spark.createDataFrame([(1, "p0", "same"), (2, "p9", "same"), (3, "p1", "other")], "in_id long, file_path string, content string").write.parquet(f"{tmp_path}/incoming_docs.parquet")
+    c = duckdb.connect()
+    for t in ("knowledge_base", "incoming_docs"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    q, s = entry.queries(), entry.oracle_sql()
+    for name in ("dedup_classify", "dedup_classify_all", "dedup_apply", "dedup_apply_all"):
+        assert sorted(map(tuple, q[name](spark, str(tmp_path)).collect())) == sorted(c.execute(s[name]).fetchall()), name
+    assert dict(map(tuple, q["dedup_classify_all"](spark, str(tmp_path)).collect())) == {1: "unchanged", 2: "moved", 3: "changed"}
+    assert q["dedup_apply_all"](spark, str(tmp_path)).count() == 8000
+
+
 def test_store_and_stream(spark, tmp_path):
     store = kb.Store(spark, str(tmp_path / "kb"))
     assert store.read() is None
