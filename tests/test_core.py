@@ -146,6 +146,22 @@ def test_reconcile_and_vacuum(spark):
     assert kb.escape_literal("it's") == "it''s"
 
 
+def test_descendants_from_intervals(spark):
+    """Every (trace, descendant) pair read off the intervals of p5_descendants is one of the SQL's paths, and the reverse."""
+    got = entry.queries()["p5_descendants"](spark, SMALL).collect()
+    c = duckdb.connect()
+    c.execute(f"create view traces as select * from '{SMALL}/traces.parquet'")
+    paths = {x[0]: x[1] for x in c.execute(f"select trace_id, path from ({entry.oracle_sql()['p5_paths']})").fetchall()}
+    assert {r["trace_id"] for r in got} == set(paths) and all((r["enter"] is None) == (paths[r["trace_id"]] == "") for r in got)
+    want = {(up, k) for k, p in paths.items() for up in p.split("/")[:-1]}
+    by = {}
+    for r in got:
+        if r["enter"] is not None:
+            by.setdefault(r["root_trace_id"], []).append(r)
+    pairs = {(y["trace_id"], x["trace_id"]) for rs in by.values() for y in rs for x in rs if y["enter"] < x["enter"] < y["leave"]}
+    assert pairs == want and want
+
+
 def test_dedup_of_a_hash_held_by_many_rows(spark, tmp_path):
     """10 000 rows of one content: the capped queries keep the reference's rule, the others find it and delete nothing."""
     h = duckdb.sql("select sha256('same')").fetchall()[0][0]
