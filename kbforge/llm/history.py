@@ -1,17 +1,17 @@
 """Deduplicating new batches against all accepted history.
 
-Every text becomes a sparse vector: its coordinates are the five-word shingles that are smallest in a window of
-eight consecutive ones (of words in lower case), so equal runs of twelve words always share a coordinate. The persisted
-index holds one inverted list (cell) per coordinate and the full word vector of one text per class of equal
-word sequences; a batch reads cells and word vectors, never the history's texts, and appends to both.
-
-Close texts have at least LEAST_COMMON of the longer one's words in common order. They are found in two steps:
-* Probing, a shortcut that sees only part of the close texts: a query's cells are ordered rarest first, the share SKIP of the most common
-  ones (boilerplate) is left out, and texts in at least NEED - SKIP of the others are compared exactly, by the longest common
-  subsequence of the two word vectors.
-* Every query that probing matched to nothing is compared with all word vectors. The bound here holds for any two texts: a text b close to a
-  query of n words lacks at most n - LEAST_COMMON * max(n, m) of its words (counted with repeats), m being b's number of words; so of any
-  s words of the query, b has at least s less that number. Counting only the s rarest words spares most of the work and loses no text.
+A text's full vector is its sequence of words in lower case, kept as 32-bit numbers. Two texts of n and m words are close if their longest
+common subsequence has at least LEAST_COMMON * max(n, m) words. The persisted index holds, for one text per class of equal
+word sequences, its full vector, and cells: a cell is a shingle (five words, the smallest of eight consecutive ones) with the first text
+that has it. A batch reads cells and vectors, never the history's texts, and appends to both.
+
+A batch finds its near repeats in two steps:
+* Probing: a query reads its own cells only; the text that most of them name is compared exactly. This settles most repeats at a cost that
+  grows with the batch, not with the history.
+* Every query that this leaves open is compared with the vectors of fitting length under bounds that hold for any two close texts, so none
+  is lost: max(n, m) * LEAST_COMMON <= min(n, m); at most n + m - 2 * LCS words lie outside the common subsequence, each breaks at most one of
+  its LCS - 1 steps, so the texts share at least 3 * LCS - 1 - n - m pairs of neighbouring words (counted with repeats); and they share LCS words.
+  What passes all three is compared exactly.
 
 Defined results: null contents are no documents; empty contents can only be exact repeats; contents with the same words are `near`
 (or `exact` if byte for byte equal) whatever their case, white space and punctuation; ids repeated in a batch are one document;
@@ -30,18 +30,27 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kbforge.runtime import Scratch, broadcast_if_small
+from kbforge.runtime import Scratch
 
-SHINGLE, WINDOW = 5, 8
-SKIP, NEED = 0.25, 0.35
-MOST_HOT = 1 << 20
+SHINGLE, WINDOW, BUCKETS = 5, 8, 16
 LEAST_COMMON = 0.72
-#: Share of a query's words counted beyond those a close text may lack; any value gives the same texts. Queries a block, words a chunk.
-EXTRA = 0.3
-BLOCK_TEXTS, CHUNK_WORDS = 4096, 1 << 21
+#: Batch tables of at most so many rows are broadcast; larger ones are joined by shuffle.
+MOST_BROADCAST = 500_000
+#: Queries with fewer words are counted by words instead of pairs; texts up to SHORT_TEXT words therefore have both.
+SHORT, SHORT_TEXT = 16, 24
+#: Words of a block of queries, of a slice of texts; neighbouring pairs counted by a dense product; hashed word counters; queries a product.
+BLOCK_WORDS, SLICE_WORDS, DENSE, COUNTERS, GROUP = 1 << 22, 1 << 19, 256, 1024, 256
 _WORD = re.compile(r"[^\W_]+")
-_FEATURES = "id long, sha string, form string, words array<int>, coords array<long>"
+_FEATURES = "id long, sha string, form string, n int, words array<int>, coords array<long>"
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """Hash of unsigned 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
 
 
 def coordinates(words: np.ndarray) -> np.ndarray:
@@ -53,9 +62,7 @@ def coordinates(words: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         for i in range(k):
             h = h * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - k + 1 + i].astype(np.uint64)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
+    h = _mix(h)
     if len(h) > WINDOW:
         h = np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(axis=1)
     return np.unique(h).view(np.int64)
@@ -76,7 +83,7 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             forms.append(hashlib.blake2b(ids.tobytes(), digest_size=12).hexdigest() if found else "")
             words.append(ids.view(np.int32))
             coords.append(coordinates(ids))
-        yield pd.DataFrame({"id": pdf["id"], "sha": pdf["sha"], "form": forms, "words": words, "coords": coords})
+        yield pd.DataFrame({"id": pdf["id"], "sha": pdf["sha"], "form": forms, "n": [len(w) for w in words], "words": words, "coords": coords})
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -110,95 +117,211 @@ def close(a: list[int], b: list[int]) -> bool:
     return common_subsequence(a, b) >= LEAST_COMMON * longest
 
 
-def _rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        good = [close(list(a), list(b)) for a, b in zip(pdf["words"], pdf["words2"], strict=True)]
-        yield pdf.loc[good, ["qid", "id"]]
-
-
-def _numbered_words(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of every word of the texts, by text; the key holds the word and how often it came before in its text."""
-    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    flat = np.concatenate([*words, np.zeros(0, dtype=np.int32)]).astype(np.int64) & 0xFFFFFFFF
-    order = np.lexsort((flat, row))
-    flat, at = flat[order], np.arange(len(flat))
-    first = np.ones(len(flat), dtype=bool)
-    first[1:] = (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])
-    return row, flat << 24 | (at - np.maximum.accumulate(np.where(first, at, 0)))
+def common_subsequences(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Lengths of the longest common subsequences of many pairs, all advanced together one word at a time."""
+    if not pairs:
+        return np.zeros(0, dtype=np.int64)
+    n = np.array([len(a) for a, _ in pairs])
+    m = np.array([len(b) for _, b in pairs])
+    width = int(n.max() + 63) // 64
+    rows: dict[int, tuple[int, np.ndarray]] = {}
+    tables, used = [np.zeros((1, width), dtype=np.uint64)], 1
+    at = np.zeros((int(m.max()), len(pairs)), dtype=np.int32)
+    for p, (a, b) in enumerate(pairs):
+        if id(a) not in rows:
+            known, own = np.unique(a, return_inverse=True)
+            table = np.zeros((len(known), width), dtype=np.uint64)
+            place = np.arange(len(a))
+            np.bitwise_or.at(table, (own, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+            tables.append(table)
+            rows[id(a)] = used, known
+            used += len(known)
+        start, known = rows[id(a)]
+        if len(known):
+            k = np.minimum(np.searchsorted(known, b), len(known) - 1)
+            at[: len(b), p] = np.where(known[k] == b, start + k, 0)
+    masks = np.concatenate(tables).T.copy()
+    v = np.full((width, len(pairs)), ~np.uint64(0))
+    top = np.uint64(63)
+    for step in at:
+        carry = np.zeros(len(pairs), dtype=np.uint64)
+        for w in range(width):
+            x, mask = v[w], masks[w][step]
+            u = x & mask
+            s = x + u + carry
+            carry = ((x & u) | ((x | u) & ~s)) >> top
+            v[w] = s | (x & ~mask)
+    # A word of `a` in the subsequence has a 0 in v; places beyond its end stay 1.
+    return (width * 64 - np.bitwise_count(v).sum(axis=0, dtype=np.int64)).astype(np.int64)
+
+
+def _keys(words: list[np.ndarray], rows: np.ndarray, pairs: bool) -> np.ndarray:
+    """Sorted numbers (40-bit hash << 24 | row) of the texts' words or neighbouring pairs, each repeat within a text with a hash of its own."""
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    flat = np.concatenate([*words, np.zeros(0, dtype=np.int32)]).astype(np.int64).view(np.uint64) & np.uint64(0xFFFFFFFF)
+    row = np.repeat(rows.astype(np.uint64), sizes)
+    with np.errstate(over="ignore"):
+        if pairs:
+            inside = np.ones(len(flat), dtype=bool)
+            inside[np.cumsum(sizes)[sizes > 0] - 1] = False
+            inside = inside[:-1]
+            h = _mix(flat[:-1] * np.uint64(0x9E3779B97F4A7C15) + flat[1:])[inside]
+            row = row[:-1][inside]
+        else:
+            h = _mix(flat + np.uint64(1 << 40))
+        high = np.uint64(24)
+        key = np.sort((h >> high) << high | row)
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = key[1:] != key[:-1]
+        at = np.arange(len(key))
+        again = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+        late = again > 0
+        if late.any():
+            more = _mix((key[late] >> high) + again[late] * np.uint64(0xD6E8FEB86659FD93))
+            key = np.sort(np.concatenate([key[~late], (more >> high) << high | key[late] & np.uint64((1 << 24) - 1)]))
+    return key
+
+
+def _counters(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed word counts per text (8 bits), and whether they are complete."""
+    out, whole = np.zeros((len(words), COUNTERS), dtype=np.uint8), np.ones(len(words), dtype=bool)
+    for i, w in enumerate(words):
+        c = np.bincount(w.view(np.uint32) % COUNTERS, minlength=COUNTERS)
+        whole[i] = c.max(initial=0) < 256
+        out[i] = np.minimum(c, 255)
+    return out, whole
+
+
+class Block:
+    """Queries (qid, words) that are compared with slices of texts (id, words)."""
+
+    def __init__(self, qids: list[int], queries: list[np.ndarray]) -> None:
+        order = np.argsort([len(q) for q in queries], kind="stable")
+        self.qids, self.words = np.array(qids, dtype=np.int64)[order], [queries[i] for i in order]
+        self.n = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.open = np.ones(len(self.words), dtype=bool)
+        self.counts, self.whole = _counters(self.words)
+        self.short = int(np.searchsorted(self.n, SHORT))
+        self.sides = [self._side(0, self.short, False), self._side(self.short, len(self.words), True)]
+
+    def _side(self, lo: int, hi: int, pairs: bool) -> tuple:
+        """(first, last query, by pairs, distinct hashes, place of every query's hashes among them, ends)."""
+        key = _keys(self.words[lo:hi], np.arange(hi - lo), pairs)
+        row = (key & np.uint64((1 << 24) - 1)).astype(np.int64)
+        order = np.argsort(row, kind="stable")
+        known, own = np.unique(key >> np.uint64(24), return_inverse=True)
+        return lo, hi, pairs, known, own[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))])
+
+    def against(self, ids: np.ndarray, words: list[np.ndarray]) -> list[int]:
+        """qids of open queries that are close to a text with a smaller id; they are closed."""
+        m = np.array([len(w) for w in words], dtype=np.int64)
+        counts, whole = _counters(words)
+        found: list[int] = []
+        for lo, hi, pairs, hashes, own, ends in self.sides:
+            near = np.flatnonzero(self.open[lo:hi] & (self.n[lo:hi] >= LEAST_COMMON * m.min()) & (LEAST_COMMON * self.n[lo:hi] <= m.max()) & (self.qids[lo:hi] > ids.min()))
+            if not len(near) or not len(hashes):
+                continue
+            use = np.arange(len(words)) if pairs else np.flatnonzero(m < SHORT_TEXT)
+            key = _keys([words[i] for i in use], use, pairs)
+            texts = (key & np.uint64((1 << 24) - 1)).astype(np.int32)
+            held, start, size = np.unique(key >> np.uint64(24), return_index=True, return_counts=True)
+            if not len(held):
+                continue
+            at = np.minimum(np.searchsorted(held, hashes), len(held) - 1)
+            at = np.where(held[at] == hashes, at, -1).astype(np.int32)
+            dense = np.argpartition(-size, min(DENSE, len(size)) - 1)[:DENSE]
+            dense = dense[size[dense] * 16 > len(words)]
+            rank = np.full(len(held) + 1, -1, dtype=np.int32)  # the last entry serves hashes that no text has
+            rank[dense] = np.arange(len(dense))
+            y = np.zeros((max(1, len(dense)), len(words)), dtype=np.float32)
+            for r, d in enumerate(dense):
+                y[r, texts[start[d] : start[d] + size[d]]] = 1
+            size0 = np.append(np.where(rank[:-1] >= 0, 0, size), 0)
+            start0 = np.append(start, 0)
+            for a in range(0, len(near), GROUP):
+                group = near[a : a + GROUP]
+                parts = [own[ends[i] : ends[i + 1]] for i in group]
+                place = at[np.concatenate(parts)]
+                line = np.repeat(np.arange(len(group)), [len(p) for p in parts])
+                x = np.zeros((len(group), len(y)), dtype=np.float32)
+                common = rank[place] >= 0
+                x[line[common], rank[place[common]]] = 1
+                hits = x @ y
+                c = size0[place]
+                total = int(c.sum())
+                if total:
+                    base = np.repeat(start0[place] - np.cumsum(c) + c, c) + np.arange(total)
+                    hits += np.bincount(np.repeat(line * len(words), c) + texts[base], minlength=hits.size).reshape(hits.shape)
+                n = self.n[lo + group][:, None]
+                most = np.maximum(n, m)
+                need = (3 * LEAST_COMMON * most - 1 - n - m if pairs else LEAST_COMMON * most) - 1e-6
+                ok = (hits >= need) & (np.minimum(n, m) >= LEAST_COMMON * most) & (ids < self.qids[lo + group][:, None])
+                g, t = np.nonzero(ok)
+                q = lo + group[g]
+                if len(q):
+                    keep = np.concatenate([self._words(q[k : k + 4096], t[k : k + 4096], counts, whole, m) for k in range(0, len(q), 4096)])
+                    found += self._exact(q[keep], t[keep], words)
+        return found
+
+    def _words(self, q: np.ndarray, t: np.ndarray, counts: np.ndarray, whole: np.ndarray, m: np.ndarray) -> np.ndarray:
+        both = np.minimum(self.counts[q], counts[t]).sum(axis=1, dtype=np.int32)
+        return (both >= LEAST_COMMON * np.maximum(self.n[q], m[t]) - 1e-6) | ~(self.whole[q] & whole[t])
+
+    def _exact(self, q: np.ndarray, t: np.ndarray, words: list[np.ndarray]) -> list[int]:
+        found: list[int] = []
+        for k in range(0, len(q), 1024):
+            part = [(i, j) for i, j in zip(q[k : k + 1024].tolist(), t[k : k + 1024].tolist(), strict=True) if self.open[i]]
+            length = common_subsequences([(self.words[i], words[j]) for i, j in part])
+            for (i, j), x in zip(part, length.tolist(), strict=True):
+                if self.open[i] and x >= LEAST_COMMON * max(self.n[i], len(words[j])):
+                    self.open[i] = False
+                    found.append(int(self.qids[i]))
+        return found
 
 
 def _compare(qids: list[int], queries: list[np.ndarray]):
     """Maps texts (id, words) to the queries (qid) that are close to one of them with a smaller id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ends = np.cumsum([0, *map(len, queries)])
-        keys = _numbered_words(queries)[1]
-        left = set(range(len(qids)))
+        block = Block(qids, queries)
+        ids: list[np.ndarray] = []
+        words: list[np.ndarray] = []
+
+        def compared() -> list[int]:
+            """Slices of texts of like length, so that a slice meets only the queries of fitting length."""
+            found, all_ids = [], np.concatenate(ids)
+            order = np.argsort([len(w) for w in words], kind="stable")
+            for part in np.array_split(order, min(len(order), 1 + sum(map(len, words)) // SLICE_WORDS)):
+                found += block.against(all_ids[part], [words[i] for i in part])
+            ids.clear()
+            words.clear()
+            return found
+
+        held = 0
         for pdf in batches:
-            part = np.cumsum([len(w) for w in pdf["words"]]) // CHUNK_WORDS
-            for _, chunk in pdf.groupby(part):
-                ids, words = chunk["id"].to_numpy(), [np.asarray(w, dtype=np.int32) for w in chunk["words"]]
-                sizes = np.array([len(w) for w in words])
-                row, key = _numbered_words(words)
-                order = np.argsort(key, kind="stable")
-                texts = row[order]
-                known, start = np.unique(key[order], return_index=True)
-                stop = np.append(start[1:], len(texts))
-                if not len(known):
-                    continue
-                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                count = np.where(known[at] == keys, stop[at] - start[at], 0)
-                found = []
-                for i in left:
-                    own, held = at[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]]
-                    n = len(own)
-                    if np.count_nonzero(held == 0) > n * (1 - LEAST_COMMON) + 1e-6:
-                        continue
-                    s = min(n, int(n * (1 - LEAST_COMMON + EXTRA)) + 1)
-                    rare = np.argpartition(held, s - 1)[:s]
-                    rare = own[rare[held[rare] > 0]]
-                    if not len(rare):
-                        continue
-                    hits = np.bincount(np.concatenate([texts[a:b] for a, b in zip(start[rare].tolist(), stop[rare].tolist(), strict=True)]), minlength=len(ids))
-                    maybe = np.flatnonzero((hits >= s - n + LEAST_COMMON * np.maximum(n, sizes) - 1e-6) & (ids < qids[i]))
-                    q = queries[i].tolist()
-                    if any(close(q, words[j].tolist()) for j in maybe[np.argsort(-hits[maybe], kind="stable")]):
-                        found.append(i)
-                left.difference_update(found)
-                yield pd.DataFrame({"qid": np.array([qids[i] for i in found], dtype=np.int64)})
+            ids.append(pdf["id"].to_numpy(np.int64))
+            words += [np.asarray(w, dtype=np.int32) for w in pdf["words"]]
+            held += sum(len(w) for w in words[-len(pdf) :]) if len(pdf) else 0
+            if held > 8 * SLICE_WORDS:
+                yield pd.DataFrame({"qid": np.array(compared(), dtype=np.int64)})
+                held = 0
+        if words:
+            yield pd.DataFrame({"qid": np.array(compared(), dtype=np.int64)})
 
     return run
 
 
-def _prefix(hot: np.ndarray, sizes: np.ndarray, buckets: int):
-    """Maps texts (id, coords) to the cells they have to probe (qid, n, cell): rarest first, without the share SKIP of the most common."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, ns, cells = [], [], []
-            for i, c in zip(pdf["id"], pdf["coords"], strict=True):
-                c = np.asarray(c, dtype=np.int64)
-                size = np.zeros(len(c), dtype=np.int64)
-                if len(hot):
-                    b = c % buckets
-                    at = np.minimum(np.searchsorted(hot, b), len(hot) - 1)
-                    size = np.where(hot[at] == b, sizes[at], 0)
-                keep = max(1, int(np.ceil(len(c) * (1 - SKIP))))
-                c = c[np.lexsort((c, size))[:keep]]
-                ids.append(np.full(len(c), i, dtype=np.int64))
-                ns.append(np.full(len(c), len(pdf["coords"].iloc[len(ns)]), dtype=np.int32))
-                cells.append(c)
-            if ids:
-                yield pd.DataFrame({"qid": np.concatenate(ids), "n": np.concatenate(ns), "cell": np.concatenate(cells)})
-
-    return run
+def _rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        good = [len(x) > 1 and close(x[0].tolist(), x[1].tolist()) for x in pdf["both"]]
+        yield pdf.loc[good, ["qid"]]
 
 
 class History:
-    """The persisted index under path: per batch a part of docs (id, sha, form, words, coords) and of cells (cell, id).
+    """The persisted index under path, by parts (one a batch): docs (id, sha, form, n, words, coords) and cells (cell, id), by bucket of the cell.
 
     Only the first text of every class of equal word sequences has cells. A part counts once its mark is written, so an update
-    that fails leaves the index as it was.
+    that fails leaves the index as it was; a single writer is assumed.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -211,13 +334,13 @@ class History:
     def _read(self, name: str, schema: str) -> DataFrame:
         if not self.parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}/part={k}" for k in self.parts])
+        return self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/part={k}" for k in self.parts])
 
     def docs(self) -> DataFrame:
         return self._read("docs", _FEATURES)
 
     def cells(self) -> DataFrame:
-        return self._read("cells", "cell long, id long")
+        return self._read("cells", "cell long, id long, bucket int")
 
     def add(self, docs: DataFrame) -> None:
         """Append documents (id, content) with distinct ids without checking them, e.g. a history accepted earlier."""
@@ -225,24 +348,35 @@ class History:
         self._commit(k, self._firsts(f, self._classes(f)))
 
     def _vectors(self, docs: DataFrame) -> tuple[DataFrame, int]:
-        """The batch's vectors, stored as the next part (which counts only after _commit)."""
+        """The batch's vectors, stored as the next part (which counts only after _commit), by length so that scans can leave out other lengths."""
         k = self.parts[-1] + 1 if self.parts else 0
         clean = docs.where("content is not null").withColumn("sha", F.sha2("content", 256))
-        clean.mapInPandas(_features, _FEATURES).write.mode("overwrite").parquet(f"{self.path}/docs/part={k}")
-        return self.spark.read.schema(_FEATURES).parquet(f"{self.path}/docs/part={k}"), k
+        clean.mapInPandas(_features, _FEATURES).sortWithinPartitions("n").write.mode("overwrite").parquet(f"{self.path}/docs/part={k}")
+        f = self.spark.read.schema(_FEATURES).parquet(f"{self.path}/docs/part={k}")
+        self._rows, self._probes, self._words = f.agg(F.count("*"), F.coalesce(F.sum(F.size("coords")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        return f, k
+
+    def _small(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Broadcast a table of the batch if its rows (at most the batch's) are few, so that the history isn't shuffled."""
+        return F.broadcast(df) if (self._rows if rows is None else rows) <= MOST_BROADCAST else df
+
+    def _earliest(self, f: DataFrame, key: str) -> DataFrame:
+        """(key, first): the smallest id of index and batch for every key of the batch."""
+        own = f.groupBy(key).agg(F.min("id").alias("own"))
+        old = self.docs().select(key, "id").join(self._small(own.select(key)), key, "left_semi").groupBy(key).agg(F.min("id").alias("old"))
+        return own.join(self._small(old), key, "left").select(key, F.least("own", "old").alias("first"))
 
     def _classes(self, f: DataFrame) -> DataFrame:
-        """(form, cid): the smallest id of index and batch for every word sequence of the batch."""
-        both = self.docs().select("form", "id", F.lit(False).alias("new")).unionByName(f.select("form", "id", F.lit(True).alias("new")))
-        return both.where("form != ''").groupBy("form").agg(F.min("id").alias("cid"), F.max("new").alias("new")).where("new").select("form", "cid")
+        return self._earliest(f.where("form != ''").select("form", "id"), "form").withColumnRenamed("first", "cid")
 
     def _firsts(self, f: DataFrame, classes: DataFrame) -> DataFrame:
-        """Texts of the batch that are the first of their class; only ids move if the repeats are few enough to broadcast."""
-        later = f.select("id", "form").join(classes, "form").where(F.col("id") != F.col("cid")).select("id")
-        return f.where("form != ''").join(broadcast_if_small(later, 1_000_000), "id", "left_anti")
+        """Texts of the batch that are the first of their class."""
+        return f.where("form != ''").join(self._small(classes), "form").where(F.col("id") == F.col("cid")).drop("cid")
 
     def _commit(self, k: int, firsts: DataFrame) -> None:
-        firsts.select(F.explode("coords").alias("cell"), "id").write.mode("overwrite").parquet(f"{self.path}/cells/part={k}")
+        each = firsts.select(F.explode("coords").alias("cell"), "id").withColumn("bucket", F.pmod("cell", F.lit(BUCKETS)).cast("int"))
+        cells = each.repartition(BUCKETS, "bucket").groupBy("bucket", "cell").agg(F.min("id").alias("id"))
+        cells.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/cells/part={k}")
         self._fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_ok-{k}")).close()
         self.parts.append(k)
 
@@ -252,61 +386,83 @@ class History:
         f, k = self._vectors(docs.where("content is not null").groupBy("id").agg(F.min("content").alias("content")))
         classes = s.cut(self._classes(f), "classes")
         firsts = self._firsts(f, classes)
-        thin = f.select("id", "sha", "form").join(classes, "form", "left").withColumn("cid", F.coalesce("cid", "id"))
-        shas = self.docs().select("sha", "id").unionByName(f.select("sha", "id")).groupBy("sha").agg(F.min("id").alias("first"))
-        matched = self._matched(firsts, s)
-        rows = thin.join(shas, "sha").join(matched, F.col("cid") == F.col("qid"), "left")
+        thin = f.select("id", "sha", "form").join(self._small(classes), "form", "left").withColumn("cid", F.coalesce("cid", "id"))
+        rows = thin.join(self._small(self._earliest(f.select("sha", "id"), "sha")), "sha").join(self._small(self._matched(firsts, s)), F.col("cid") == F.col("qid"), "left")
         kind = F.when(F.col("first") < F.col("id"), "exact").when((F.col("cid") < F.col("id")) | F.col("qid").isNotNull(), "near")
-        out = s.cut(rows.select("id", kind.alias("match")).where("match is not null"))
+        out = s.cut(rows.select("id", kind.alias("match")).where("match is not null"), "out")
         self._commit(k, firsts)
         return out
 
     def _matched(self, firsts: DataFrame, s: Scratch) -> DataFrame:
         """qid of the class firsts of the batch that are close to a text with a smaller id."""
-        cells = self.cells().unionByName(firsts.select(F.explode("coords").alias("cell"), "id"))
-        total = cells.count()
-        if not total:
-            return self.spark.createDataFrame([], "qid long")
-        # Counts per hash bucket bound the cells' sizes from above. At most total / least of the buckets are hot.
-        buckets = 1 << max(12, min(26, (max(total // 16, 1)).bit_length()))
-        least = max(8 * (total // buckets) + 32, total // MOST_HOT + 1)
-        sizes = cells.groupBy(F.pmod("cell", F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("size")).where(F.col("size") > least).toPandas()  # at most MOST_HOT rows
-        sizes = sizes.sort_values("bucket")
-        probe = _prefix(sizes["bucket"].to_numpy(np.int64), sizes["size"].to_numpy(np.int64), buckets)
-        probes = firsts.select("id", "coords").mapInPandas(probe, "qid long, n int, cell long")
-        hits = probes.join(cells, "cell").where(F.col("id") < F.col("qid")).groupBy("qid", "id").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
-        pairs = s.cut(hits.where(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.col("n") * (NEED - SKIP)))).select("qid", "id"), "pairs")
-        words = self.docs().select("id", "words").unionByName(firsts.select("id", "words"))
-        ids = broadcast_if_small(pairs.select("id").union(pairs.select("qid")).distinct(), 500_000)
-        used = s.cut(words.join(ids, "id", "left_semi"), "words")
-        both = pairs.join(used, "id").join(used.select(F.col("id").alias("qid"), F.col("words").alias("words2")), "qid")
-        probed = s.cut(both.mapInPandas(_rerank, "qid long, id long").select("qid").distinct(), "probed")
-        return probed.unionByName(self._rest(firsts.select("id", "words").join(probed, F.col("id") == F.col("qid"), "left_anti"), words, s))
+        probes = firsts.select(F.col("id").alias("qid"), F.explode("coords").alias("cell"))
+        cells = self.cells()
+        if self._probes < 8 * BUCKETS:
+            # A few probes read their own buckets only; more would touch nearly all.
+            cells = cells.where(F.col("bucket").isin([r[0] for r in probes.select(F.pmod("cell", F.lit(BUCKETS)).cast("int")).distinct().collect()]))
+        old = cells.select("cell", "id").join(self._small(probes.select("cell").distinct(), self._probes), "cell", "left_semi")
+        named = old.unionByName(probes.select("cell", F.col("qid").alias("id"))).groupBy("cell").agg(F.min("id").alias("id"))
+        hits = probes.join(named, "cell").where(F.col("id") < F.col("qid")).groupBy("qid", "id").agg(F.count("*").alias("hits"))
+        best = hits.groupBy("qid").agg(F.max(F.struct("hits", (-F.col("id")).alias("id"))).alias("b")).where("b.hits > 1")
+        best = s.cut(best.select("qid", F.explode(F.array("qid", -F.col("b.id"))).alias("id")), "best")
+        words = self.docs().select("id", "n", "words").unionByName(firsts.select("id", "n", "words"))
+        both = words.select("id", "words").join(self._small(best, 2 * self._rows), "id").groupBy("qid").agg(F.collect_set("words").alias("both"))  # two texts
+        probed = s.cut(both.mapInPandas(_rerank, "qid long"), "probed")
+        out = probed.unionByName(self._rest(firsts.select("id", "n", "words").join(self._small(probed), F.col("id") == F.col("qid"), "left_anti"), words, s))
+        s.drop(best)
+        return out
 
-    def _rest(self, queries: DataFrame, words: DataFrame, s: Scratch) -> DataFrame:
-        """qid of the queries (id, words) that are close to one of the words (id, words) with a smaller id, in blocks compared with all of them."""
+    def _blocks(self, queries: DataFrame, s: Scratch) -> Iterator[tuple[int, int, list]]:
+        """(least and greatest length, rows) of the blocks; a block's rows have about BLOCK_WORDS words."""
+        if self._words <= BLOCK_WORDS:
+            rows = queries.collect()
+            if rows:
+                yield min(r["n"] for r in rows), max(r["n"] for r in rows), rows
+            return
         queries = s.cut(queries, "left")
-        blocks, at = -(-queries.count() // BLOCK_TEXTS), s.path("rest")
-        block = F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.lit(blocks) / F.lit(1 << 20))
-        for n in range(blocks):
-            rows = queries.where(block == n).collect()  # about BLOCK_TEXTS texts
+        sizes = queries.groupBy("n").agg(F.sum("n").alias("words")).orderBy("n").collect()  # one row per length
+        bounds, held = [], 0
+        for r in sizes:
+            if not bounds or held > BLOCK_WORDS:
+                bounds.append([r["n"], r["n"]])
+                held = 0
+            bounds[-1][1] = r["n"]
+            held += r["words"]
+        for lo, hi in bounds:
+            split = max(1, -(-sum(r["words"] for r in sizes if lo <= r["n"] <= hi) // (2 * BLOCK_WORDS)))
+            for part in range(split):  # more than one only where a single length holds more than two blocks
+                rows = queries.where(F.col("n").between(lo, hi) & (F.pmod(F.xxhash64("id"), F.lit(split)) == part)).collect()
+                if rows:
+                    yield lo, hi, rows
+
+    def _rest(self, queries: DataFrame, words: DataFrame, s: Scratch) -> DataFrame:
+        """qid of the queries (id, n, words) that are close to one of the words (id, n, words) with a smaller id.
+
+        Queries go by length into blocks of about BLOCK_WORDS words; a block is compared with all texts of fitting length, which are not shuffled.
+        """
+        at, blocks = s.path("rest"), 0
+        for lo, hi, rows in self._blocks(queries, s):
             run = _compare([r["id"] for r in rows], [np.array(r["words"], dtype=np.int32) for r in rows])
-            words.where("size(words) > 0").mapInPandas(run, "qid long").write.mode("append").parquet(at)
-        return self.spark.read.schema("qid long").parquet(at).distinct() if blocks else self.spark.createDataFrame([], "qid long")
+            fit = words.where((F.col("n") >= LEAST_COMMON * lo) & (LEAST_COMMON * F.col("n") <= hi) & (F.col("n") > 0)).select("id", "words")
+            fit.mapInPandas(run, "qid long").write.mode("append").parquet(at)
+            blocks += 1
+        empty = self.spark.createDataFrame([], T.StructType([T.StructField("qid", T.LongType())]))
+        return self.spark.read.schema("qid long").parquet(at).distinct() if blocks else empty
 
 
 def accepted(kb: DataFrame) -> DataFrame:
-    """(id, content) of the knowledge base: per path and content hash its chunks in order, joined by a blank line; ids are negative."""
+    """(id, content) of the knowledge base: per path and content hash its chunks in order, joined by a blank line; ids are negative.
+
+    Rows without a hash belong to the content of their path where that has one hash only, else they are a content of their own.
+    """
     path = F.regexp_replace(F.trim(F.regexp_replace("file_path", r"\\", "/")), r"^(\./)+", "")
     h = F.lower(F.regexp_replace(F.trim("content_hash"), r"(?i)^sha-?256:", ""))
     rows = kb.where("original_chunk is not null and file_path is not null").select(path.alias("path"), h.alias("h"), "chunk_index", "original_chunk")
-    per = rows.groupBy("path", "h").agg(F.collect_set(F.struct("chunk_index", "original_chunk")).alias("c"))
-    # Rows without a hash belong to the content of their path; a path with one known hash is one content.
-    known = per.groupBy("path").agg(F.max("h").alias("main"), F.count("h").alias("k"), F.collect_list("c").alias("all"), F.collect_list(F.struct("h", "c")).alias("by"))
-    each = known.withColumn("sets", F.when(F.col("k") <= 1, F.array(F.flatten("all"))).otherwise(F.transform("by", lambda x: x["c"])))
-    flat = each.select("path", F.posexplode("sets").alias("v", "c"))
-    text = F.array_join(F.transform(F.array_sort(F.array_distinct("c")), lambda x: x["original_chunk"]), "\n\n")
-    return flat.select((-1 - F.pmod(F.xxhash64("path", "v"), F.lit(1 << 62))).alias("id"), text.alias("content"))
+    one = rows.groupBy("path").agg(F.min("h").alias("low"), F.max("h").alias("high"))
+    rows = rows.join(one, "path").withColumn("key", F.coalesce("h", F.when(F.col("low") == F.col("high"), F.col("high")), F.lit("")))
+    each = rows.groupBy("path", "key").agg(F.collect_set(F.struct("chunk_index", "original_chunk")).alias("c"))  # the chunks of one content
+    text = F.array_join(F.transform(F.array_sort("c"), lambda x: x["original_chunk"]), "\n\n")
+    return each.select((-1 - F.pmod(F.xxhash64("path", "key"), F.lit(1 << 62))).alias("id"), text.alias("content"))
 
 
 BATCH = 1 << 40
