@@ -21,13 +21,14 @@ empty batches and histories give no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,8 +42,7 @@ MOST_BROADCAST = 500_000
 #: Queries with fewer words are counted by words instead of pairs; texts up to SHORT_TEXT words therefore have both.
 SHORT, SHORT_TEXT = 16, 24
 #: Words of a block of queries, of a slice of texts; neighbouring pairs counted by a dense product; hashed word counters; queries a product.
-BLOCK_WORDS, SLICE_WORDS, DENSE, COUNTERS, GROUP = 1 << 22, 1 << 19, 256, 1024, 256
-_WORD = re.compile(r"[^\W_]+")
+BLOCK_WORDS, SLICE_WORDS, DENSE, COUNTERS, GROUP = 1 << 22, 1 << 19, 512, 1024, 256
 _FEATURES = "id long, sha string, form string, n int, words array<int>, coords array<long>"
 
 
@@ -53,37 +53,55 @@ def _mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def coordinates(words: np.ndarray) -> np.ndarray:
-    """Distinct winnowed shingle hashes of a word sequence."""
-    if not len(words):
-        return np.zeros(0, dtype=np.int64)
-    k = min(SHINGLE, len(words))
-    h = np.zeros(len(words) - k + 1, dtype=np.uint64)
+def coordinates(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Winnowed shingle hashes of many word sequences, given one after the other with their ends (from 0): (hashes, their ends)."""
+    sizes = np.diff(ends)
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    left = (ends[1:][text] - np.arange(len(flat))).astype(np.int32)  # words from here to the text's end
+    w = np.concatenate([flat, np.zeros(SHINGLE, dtype=np.uint32)]).astype(np.uint64) + np.uint64(1)
+    h = np.zeros(len(flat), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(k):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - k + 1 + i].astype(np.uint64)
+        for i in range(SHINGLE):
+            h = (h + w[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        for at in ends[:-1][(sizes > 0) & (sizes < SHINGLE)].tolist():
+            # A text shorter than a shingle is one shingle of all of its words.
+            x = np.uint64(0)
+            for j in range(at, at + int(left[at])):
+                x = (x + w[j]) * np.uint64(0x9E3779B97F4A7C15)
+            h[at] = x
     h = _mix(h)
-    if len(h) > WINDOW:
-        h = np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(axis=1)
-    return np.unique(h).view(np.int64)
-
-
-def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known: dict[str, int] = {}
-    for pdf in batches:
-        forms, words, coords = [], [], []
-        for text in pdf["content"]:
-            found = _WORD.findall(text.lower())
-            if len(known) > 500_000:
-                known.clear()
-            for w in set(found):
-                if w not in known:
-                    known[w] = zlib.crc32(w.encode())
-            ids = np.fromiter(map(known.__getitem__, found), dtype=np.uint32, count=len(found))
-            forms.append(hashlib.blake2b(ids.tobytes(), digest_size=12).hexdigest() if found else "")
-            words.append(ids.view(np.int32))
-            coords.append(coordinates(ids))
-        yield pd.DataFrame({"id": pdf["id"], "sha": pdf["sha"], "form": forms, "n": [len(w) for w in words], "words": words, "coords": coords})
+    least, width = h, 1
+    while width < WINDOW:
+        least = np.minimum(least, np.concatenate([least[width:], least[-width:]]))
+        width *= 2
+    many = (sizes >= SHINGLE + WINDOW)[text]
+    value = np.where(many, least, h)
+    keep = left >= np.where(many, SHINGLE + WINDOW - 1, SHINGLE)
+    keep[ends[:-1][(sizes > 0) & (sizes < SHINGLE)]] = True
+    keep[1:] &= (value[1:] != value[:-1]) | (text[1:] != text[:-1])
+    return value[keep].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(text[keep], minlength=len(sizes)))])
+
+
+def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(32-bit numbers of the words of all texts, ends of the texts from 0); words are runs of letters and digits in lower case."""
+    spaced = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string())), r"[^\p{L}\p{N}]+", " "), " ")
+    lists = pc.split_pattern(spaced, " ")
+    sizes = np.where(pc.equal(spaced, "").to_numpy(zero_copy_only=False), 0, pc.list_value_length(lists).to_numpy())
+    code = pc.dictionary_encode(lists.flatten())
+    numbers = np.array([zlib.crc32(w.encode()) for w in code.dictionary.to_pylist()], dtype=np.uint32)
+    words = code.indices.to_numpy()
+    empty = code.dictionary.index(pa.scalar("", pa.large_string())).as_py()
+    words = words[words != empty] if empty >= 0 else words
+    return numbers[words], np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        flat, ends = word_numbers(b.column("content"))
+        forms = [hashlib.blake2b(flat[x:y].tobytes(), digest_size=12).hexdigest() if y > x else "" for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        cells, stops = coordinates(flat, ends)
+        lists = [pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(v)) for e, v in ((ends, flat.view(np.int32)), (stops, cells))]
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("sha"), pa.array(forms, pa.string()), pa.array(np.diff(ends).astype(np.int32)), *lists], names=["id", "sha", "form", "n", "words", "coords"])
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -117,44 +135,6 @@ def close(a: list[int], b: list[int]) -> bool:
     return common_subsequence(a, b) >= LEAST_COMMON * longest
 
 
-def common_subsequences(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Lengths of the longest common subsequences of many pairs, all advanced together one word at a time."""
-    if not pairs:
-        return np.zeros(0, dtype=np.int64)
-    n = np.array([len(a) for a, _ in pairs])
-    m = np.array([len(b) for _, b in pairs])
-    width = int(n.max() + 63) // 64
-    rows: dict[int, tuple[int, np.ndarray]] = {}
-    tables, used = [np.zeros((1, width), dtype=np.uint64)], 1
-    at = np.zeros((int(m.max()), len(pairs)), dtype=np.int32)
-    for p, (a, b) in enumerate(pairs):
-        if id(a) not in rows:
-            known, own = np.unique(a, return_inverse=True)
-            table = np.zeros((len(known), width), dtype=np.uint64)
-            place = np.arange(len(a))
-            np.bitwise_or.at(table, (own, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
-            tables.append(table)
-            rows[id(a)] = used, known
-            used += len(known)
-        start, known = rows[id(a)]
-        if len(known):
-            k = np.minimum(np.searchsorted(known, b), len(known) - 1)
-            at[: len(b), p] = np.where(known[k] == b, start + k, 0)
-    masks = np.concatenate(tables).T.copy()
-    v = np.full((width, len(pairs)), ~np.uint64(0))
-    top = np.uint64(63)
-    for step in at:
-        carry = np.zeros(len(pairs), dtype=np.uint64)
-        for w in range(width):
-            x, mask = v[w], masks[w][step]
-            u = x & mask
-            s = x + u + carry
-            carry = ((x & u) | ((x | u) & ~s)) >> top
-            v[w] = s | (x & ~mask)
-    # A word of `a` in the subsequence has a 0 in v; places beyond its end stay 1.
-    return (width * 64 - np.bitwise_count(v).sum(axis=0, dtype=np.int64)).astype(np.int64)
-
-
 def _keys(words: list[np.ndarray], rows: np.ndarray, pairs: bool) -> np.ndarray:
     """Sorted numbers (40-bit hash << 24 | row) of the texts' words or neighbouring pairs, each repeat within a text with a hash of its own."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
@@ -185,10 +165,12 @@ def _keys(words: list[np.ndarray], rows: np.ndarray, pairs: bool) -> np.ndarray:
 def _counters(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed word counts per text (8 bits), and whether they are complete."""
     out, whole = np.zeros((len(words), COUNTERS), dtype=np.uint8), np.ones(len(words), dtype=bool)
-    for i, w in enumerate(words):
-        c = np.bincount(w.view(np.uint32) % COUNTERS, minlength=COUNTERS)
-        whole[i] = c.max(initial=0) < 256
-        out[i] = np.minimum(c, 255)
+    for k in range(0, len(words), 256):
+        part = words[k : k + 256]
+        row = np.repeat(np.arange(len(part)), [len(w) for w in part])
+        c = np.bincount(row * COUNTERS + np.concatenate([*part, np.zeros(0, dtype=np.int32)]).view(np.uint32) % COUNTERS, minlength=len(part) * COUNTERS).reshape(-1, COUNTERS)
+        whole[k : k + 256] = c.max(axis=1) < 256
+        out[k : k + 256] = np.minimum(c, 255)
     return out, whole
 
 
@@ -236,8 +218,9 @@ class Block:
             y = np.zeros((max(1, len(dense)), len(words)), dtype=np.float32)
             for r, d in enumerate(dense):
                 y[r, texts[start[d] : start[d] + size[d]]] = 1
-            size0 = np.append(np.where(rank[:-1] >= 0, 0, size), 0)
-            start0 = np.append(start, 0)
+            size0 = np.append(np.where(rank[:-1] >= 0, 0, size), 0).astype(np.int32)
+            start0 = np.append(start, 0).astype(np.int32)
+            length = m.astype(np.float32)
             for a in range(0, len(near), GROUP):
                 group = near[a : a + GROUP]
                 parts = [own[ends[i] : ends[i + 1]] for i in group]
@@ -247,15 +230,21 @@ class Block:
                 common = rank[place] >= 0
                 x[line[common], rank[place[common]]] = 1
                 hits = x @ y
+                some = size0[place] > 0
+                place, line = place[some], line[some]
                 c = size0[place]
-                total = int(c.sum())
+                total = int(c.sum(dtype=np.int64))
                 if total:
-                    base = np.repeat(start0[place] - np.cumsum(c) + c, c) + np.arange(total)
-                    hits += np.bincount(np.repeat(line * len(words), c) + texts[base], minlength=hits.size).reshape(hits.shape)
-                n = self.n[lo + group][:, None]
-                most = np.maximum(n, m)
-                need = (3 * LEAST_COMMON * most - 1 - n - m if pairs else LEAST_COMMON * most) - 1e-6
-                ok = (hits >= need) & (np.minimum(n, m) >= LEAST_COMMON * most) & (ids < self.qids[lo + group][:, None])
+                    base = np.repeat(start0[place] - np.cumsum(c, dtype=np.int32) + c, c)
+                    base += np.arange(total, dtype=np.int32)
+                    cell = texts[base]
+                    cell += np.repeat((line * len(words)).astype(np.int32), c)
+                    hits += np.bincount(cell, minlength=hits.size).reshape(hits.shape)
+                n = self.n[lo + group].astype(np.float32)[:, None]
+                most = np.maximum(n, length)
+                slack = np.float32(1e-6) * most + np.float32(0.01)  # for the rounding of single precision
+                hits -= 3 * LEAST_COMMON * most - 1 - n - length - slack if pairs else LEAST_COMMON * most - slack
+                ok = (hits >= 0) & (np.minimum(n, length) >= LEAST_COMMON * most - slack) & (ids < self.qids[lo + group][:, None])
                 g, t = np.nonzero(ok)
                 q = lo + group[g]
                 if len(q):
@@ -269,25 +258,21 @@ class Block:
 
     def _exact(self, q: np.ndarray, t: np.ndarray, words: list[np.ndarray]) -> list[int]:
         found: list[int] = []
-        for k in range(0, len(q), 1024):
-            part = [(i, j) for i, j in zip(q[k : k + 1024].tolist(), t[k : k + 1024].tolist(), strict=True) if self.open[i]]
-            length = common_subsequences([(self.words[i], words[j]) for i, j in part])
-            for (i, j), x in zip(part, length.tolist(), strict=True):
-                if self.open[i] and x >= LEAST_COMMON * max(self.n[i], len(words[j])):
-                    self.open[i] = False
-                    found.append(int(self.qids[i]))
+        for i, j in zip(q.tolist(), t.tolist(), strict=True):
+            if self.open[i] and close(self.words[i].tolist(), words[j].tolist()):
+                self.open[i] = False
+                found.append(int(self.qids[i]))
         return found
 
 
-def _compare(qids: list[int], queries: list[np.ndarray]):
+def _compare(block: Block):
     """Maps texts (id, words) to the queries (qid) that are close to one of them with a smaller id."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = Block(qids, queries)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[np.ndarray] = []
         words: list[np.ndarray] = []
 
-        def compared() -> list[int]:
+        def compared() -> pa.RecordBatch:
             """Slices of texts of like length, so that a slice meets only the queries of fitting length."""
             found, all_ids = [], np.concatenate(ids)
             order = np.argsort([len(w) for w in words], kind="stable")
@@ -295,18 +280,20 @@ def _compare(qids: list[int], queries: list[np.ndarray]):
                 found += block.against(all_ids[part], [words[i] for i in part])
             ids.clear()
             words.clear()
-            return found
+            return pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["qid"])
 
         held = 0
-        for pdf in batches:
-            ids.append(pdf["id"].to_numpy(np.int64))
-            words += [np.asarray(w, dtype=np.int32) for w in pdf["words"]]
-            held += sum(len(w) for w in words[-len(pdf) :]) if len(pdf) else 0
+        for b in batches:
+            ids.append(b.column("id").to_numpy())
+            lists = b.column("words")
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            words += [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            held += int(ends[-1] - ends[0])
             if held > 8 * SLICE_WORDS:
-                yield pd.DataFrame({"qid": np.array(compared(), dtype=np.int64)})
+                yield compared()
                 held = 0
         if words:
-            yield pd.DataFrame({"qid": np.array(compared(), dtype=np.int64)})
+            yield compared()
 
     return run
 
@@ -350,10 +337,17 @@ class History:
     def _vectors(self, docs: DataFrame) -> tuple[DataFrame, int]:
         """The batch's vectors, stored as the next part (which counts only after _commit), by length so that scans can leave out other lengths."""
         k = self.parts[-1] + 1 if self.parts else 0
-        clean = docs.where("content is not null").withColumn("sha", F.sha2("content", 256))
-        clean.mapInPandas(_features, _FEATURES).sortWithinPartitions("n").write.mode("overwrite").parquet(f"{self.path}/docs/part={k}")
-        f = self.spark.read.schema(_FEATURES).parquet(f"{self.path}/docs/part={k}")
-        self._rows, self._probes, self._words = f.agg(F.count("*"), F.coalesce(F.sum(F.size("coords")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        clean, at = docs.where("content is not null").select("id", F.sha2("content", 256).alias("sha"), "content"), f"{self.path}/docs/part={k}"
+        clean.mapInArrow(_features, _FEATURES).sortWithinPartitions("n").write.mode("overwrite").parquet(at)
+        f = self.spark.read.schema(_FEATURES).parquet(at)
+        sums = [F.count("*"), F.coalesce(F.sum(F.size("coords")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.countDistinct("id")]
+        self._rows, self._probes, self._words, ids = f.agg(*sums).first()
+        if ids < self._rows:  # repeated ids: of each id the content with the smallest hash
+            first = f.groupBy("id").agg(F.min(F.struct(*[c for c in f.columns if c != "id"])).alias("x")).select("id", "x.*")
+            f = Scratch(self.spark, "check").cut(first)
+            f.sortWithinPartitions("n").write.mode("overwrite").parquet(at)
+            f = self.spark.read.schema(_FEATURES).parquet(at)
+            self._rows = ids
         return f, k
 
     def _small(self, df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -383,7 +377,7 @@ class History:
     def check(self, docs: DataFrame) -> DataFrame:
         """(id, match) of the documents (id, content) that repeat a smaller id of the index or the batch; the batch is appended."""
         s = Scratch(self.spark, "check")
-        f, k = self._vectors(docs.where("content is not null").groupBy("id").agg(F.min("content").alias("content")))
+        f, k = self._vectors(docs)
         classes = s.cut(self._classes(f), "classes")
         firsts = self._firsts(f, classes)
         thin = f.select("id", "sha", "form").join(self._small(classes), "form", "left").withColumn("cid", F.coalesce("cid", "id"))
@@ -442,9 +436,9 @@ class History:
         """
         at, blocks = s.path("rest"), 0
         for lo, hi, rows in self._blocks(queries, s):
-            run = _compare([r["id"] for r in rows], [np.array(r["words"], dtype=np.int32) for r in rows])
+            run = _compare(Block([r["id"] for r in rows], [np.array(r["words"], dtype=np.int32) for r in rows]))
             fit = words.where((F.col("n") >= LEAST_COMMON * lo) & (LEAST_COMMON * F.col("n") <= hi) & (F.col("n") > 0)).select("id", "words")
-            fit.mapInPandas(run, "qid long").write.mode("append").parquet(at)
+            fit.mapInArrow(run, "qid long").write.mode("append").parquet(at)
             blocks += 1
         empty = self.spark.createDataFrame([], T.StructType([T.StructField("qid", T.LongType())]))
         return self.spark.read.schema("qid long").parquet(at).distinct() if blocks else empty

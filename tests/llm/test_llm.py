@@ -125,6 +125,52 @@ def test_history_finds_scattered_edits_in_a_large_group(spark, tmp_path):
     assert got == dict.fromkeys(range(len(near)), "near")
 
 
+@pytest.mark.parametrize("k", [4, 5, 6])
+def test_history_finds_evenly_spread_edits(spark, tmp_path, k):
+    """Every k-th word changed, inserted or removed; probing alone sees none of them for k = 4 and 5."""
+    r = random.Random(18)
+    words = [f"w{i}" for i in range(3000)]
+    old = [r.choice(words) for _ in range(400)]
+    cases = {0: [w if j % k else f"x{j}" for j, w in enumerate(old)], 1: [w for j, w in enumerate(old) if j % k], 2: [x for j, w in enumerate(old) for x in ([w] if j % k else [w, f"x{j}"])]}
+    h = history.History(spark, str(tmp_path / "h"))
+    h.add(spark.createDataFrame([(-1, " ".join(old)), (-2, " ".join(r.choice(words) for _ in range(400)))], "id long, content string"))
+    got = {x["id"]: x["match"] for x in h.check(spark.createDataFrame([(i, " ".join(t)) for i, t in cases.items()], "id long, content string")).collect()}
+    assert got == {i: "near" for i, t in cases.items() if history.close(old, t) or i and history.close(cases[0], t)}
+
+
+def test_history_block_equals_brute_force(monkeypatch):
+    """Texts of all lengths, with edits around the border, in small slices and groups."""
+    monkeypatch.setattr(history, "GROUP", 7)
+    monkeypatch.setattr(history, "DENSE", 3)
+    r = random.Random(19)
+    vocab = [r.randrange(-(2**31), 2**31) for _ in range(60)]
+    texts: list[list[int]] = []
+    for _ in range(300):
+        t = list(r.choice(texts)) if texts and r.random() < 0.5 else [r.choice(vocab) for _ in range(r.choice([1, 2, 3, 5, 10, 15, 16, 17, 20, 23, 24, 30, 60, 100]))]
+        for _ in range(int(len(t) * r.uniform(0, 0.45))):
+            at = r.randrange(len(t) + 1)
+            t[at : at + r.randrange(2)] = [r.choice(vocab)] * r.randrange(2)
+        texts.append(t or [vocab[0]])
+    arrays = [np.array(t, dtype=np.int32) for t in texts]
+    block, got = history.Block(list(range(300)), arrays), set()
+    order = sorted(range(300), key=lambda i: len(texts[i]))
+    for k in range(0, 300, 37):
+        got |= set(block.against(np.array(order[k : k + 37]), [arrays[i] for i in order[k : k + 37]]))
+    assert got == {i for i in range(300) if any(history.close(texts[i], texts[j]) for j in range(i))}
+
+
+def test_word_numbers_and_coordinates():
+    import pyarrow as pa
+
+    flat, ends = history.word_numbers(pa.array(["", "Hello, wörld_2!", "  ", "a b c d e f " * 9, "x"]))
+    assert ends.tolist() == [0, 0, 3, 3, 57, 58]
+    cells, stops = history.coordinates(flat, ends)
+    for i in range(5):
+        own, stop = history.coordinates(flat[ends[i] : ends[i + 1]], np.array([0, ends[i + 1] - ends[i]]))
+        assert own.tolist() == cells[stops[i] : stops[i + 1]].tolist() and stop[-1] == len(own)
+    assert history.word_numbers(pa.array([], pa.string()))[0].size == 0
+
+
 def test_common_subsequence():
     r = random.Random(7)
     for _ in range(50):
