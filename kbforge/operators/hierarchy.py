@@ -38,50 +38,56 @@ def nodes_of(rows: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     return one.join(known, F.col("p") == F.col("parent"), "left").select("id", "parent")
 
 
-def _doubling(nodes: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(id, parent, size) of the acyclic part, and the ids on or below cycles."""
-    state = s.cut(nodes.select("id", "parent", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("size")), "grow")
-    left = state.where(F.col("anc").isNotNull()).count()
-    while left:
-        fed = state.where(F.col("anc").isNotNull()).groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more"))
-        up = state.select(F.col("id").alias("anc"), F.col("anc").alias("next"))
-        new = (
-            state.join(up, "anc", "left").join(fed, "id", "left")
-            .select("id", "parent", F.col("next").alias("anc"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
-        )
-        new = s.cut(new, "grow")
-        s.drop(state)
-        state, before = new, left
-        left = state.where(F.col("anc").isNotNull()).count()
-        if left == before:  # every doubling resolves the shallowest open depth, so the rest never ends
-            break
-    tree = state.where(F.col("anc").isNull()).select("id", "parent", "size")
-    return tree, state.where(F.col("anc").isNotNull()).select("id")
+def _doubling(nodes: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(id, parent, size) of the acyclic part, and the ids on or below cycles (None if there are none).
+
+    Only nodes with an ancestor at distance 2^k take part in pass k. What they add to that ancestor's size is written once and summed at the end,
+    so resolved nodes are not moved again.
+    """
+    open_ = s.cut(nodes.where(F.col("parent").isNotNull()).select("id", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("size")), "open")
+    ledger, left, before = None, open_.count(), -1
+    while left and left != before:  # every pass resolves the shallowest open depth, so what stays never ends
+        fed = s.cut(open_.groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more")), "fed")
+        ledger = fed if ledger is None else ledger.unionByName(fed)
+        up = open_.select(F.col("id").alias("anc"), F.col("anc").alias("next"))
+        new = open_.join(up, "anc").join(fed, "id", "left").select("id", F.col("next").alias("anc"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        new = s.cut(new, "open")
+        s.drop(open_)
+        open_, before, left = new, left, new.count()
+    tree = nodes if not left else nodes.join(open_.select("id"), "id", "left_anti")
+    if ledger is None:
+        return tree.withColumn("size", F.lit(1).cast("long")), None
+    more = ledger.groupBy("id").agg(F.sum("more").alias("more"))
+    return s.cut(tree.join(more, "id", "left").select("id", "parent", (1 + F.coalesce("more", F.lit(0))).alias("size")), "tree"), open_.select("id") if left else None
+
+
+def _jump(start: DataFrame, key: str, to: str, done: Column, add: list[str], s: Scratch) -> DataFrame:
+    """Pointer jumping: rows (key, to, add...) whose target is no row's key, or that are `done`, have arrived; others take over their target's pointer
+    and add its amounts until all have. Only rows on the way are moved; arrived ones are looked up."""
+    columns = [key, to, *add]
+    state = s.cut(start.select(*columns, done.alias("done")), "jump")
+    arrived, going = [state.where("done")], state.where("not done")
+    while not going.isEmpty():
+        every = going
+        for x in arrived:
+            every = every.unionByName(x)
+        at = every.select(F.col(key).alias(to), F.col(to).alias("_to"), F.col("done").alias("_done"), *[F.col(c).alias(f"_{c}") for c in add])
+        sums = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in add]
+        new = s.cut(going.join(at, to, "left").select(key, F.coalesce("_to", to).alias(to), *sums, F.coalesce("_done", F.lit(True)).alias("done")), "jump")
+        arrived.append(new.where("done"))
+        going = new.where("not done")
+    out = arrived[0]
+    for x in arrived[1:]:
+        out = out.unionByName(x)
+    return out.drop("done")
 
 
 def _chains(tree: DataFrame, s: Scratch) -> DataFrame:
     """Add head (first node of the chain) and pos (place in the chain, from 0)."""
-    heavy = (
-        tree.where(F.col("parent").isNotNull()).groupBy("parent")
-        .agg(F.max(F.struct("size", "id")).alias("h")).select(F.col("h.id").alias("id"), F.lit(True).alias("heavy"))
-    )
-    state = s.cut(
-        tree.join(heavy, "id", "left").select("id", "parent", "size", F.when(F.col("heavy"), F.col("parent")).alias("hop"), F.when(F.col("heavy"), 1).otherwise(0).cast("long").alias("pos"), F.when(~F.coalesce("heavy", F.lit(False)), F.col("id")).alias("head")),
-        "chain",
-    )
-    while not state.where(F.col("head").isNull()).isEmpty():
-        at = state.select(F.col("id").alias("hop"), F.col("hop").alias("hop2"), F.col("pos").alias("pos2"), F.col("head").alias("head2"))
-        done = F.col("head").isNotNull()
-        new = state.join(at, "hop", "left").select(
-            "id", "parent", "size",
-            F.when(~done, F.col("hop2")).alias("hop"),
-            F.when(done, F.col("pos")).otherwise(F.col("pos") + F.col("pos2")).alias("pos"),
-            F.coalesce("head", "head2").alias("head"),
-        )
-        new = s.cut(new, "chain")
-        s.drop(state)
-        state = new
-    return state
+    heavy = tree.where(F.col("parent").isNotNull()).groupBy("parent").agg(F.max(F.struct("size", "id")).alias("h")).select(F.col("h.id").alias("id"), F.col("parent").alias("hop"), F.lit(1).cast("long").alias("pos"))
+    places = _jump(heavy, "id", "hop", F.lit(False), ["pos"], s)
+    chained = tree.join(places, "id", "left").select("id", "parent", "size", F.coalesce("hop", "id").alias("head"), F.coalesce("pos", F.lit(0)).alias("pos"))
+    return s.cut(chained, "chain")
 
 
 def _entry_offsets(nodes: DataFrame) -> DataFrame:
@@ -112,25 +118,15 @@ def decompose(rows: DataFrame, id_col: str, parent_col: str) -> DataFrame:
     c = chained.where(F.col("id") == F.col("head")).select("id", "parent").join(up, "parent", "left").join(_entry_offsets(chained), "id", "left")
     links = c.select(
         F.col("id").alias("head"), "up", F.coalesce(F.col("ppos") + 1, F.lit(0)).alias("depth"),
-        F.coalesce(F.col("ppos") + F.col("offset"), F.lit(0)).alias("enter"), F.when(F.col("up").isNull(), F.col("id")).alias("root_id"),
+        F.coalesce(F.col("ppos") + F.col("offset"), F.lit(0)).alias("enter"),
     )
-    links = s.cut(links, "links")
-    while not links.where(F.col("root_id").isNull()).isEmpty():
-        above = links.select(F.col("head").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("enter").alias("e2"), F.col("root_id").alias("r2"))
-        open_ = F.col("root_id").isNull()
-        new = links.join(above, "up", "left").select(
-            "head", F.when(open_, F.col("up2")).alias("up"),
-            F.when(open_, F.col("depth") + F.col("d2")).otherwise(F.col("depth")).alias("depth"),
-            F.when(open_, F.col("enter") + F.col("e2")).otherwise(F.col("enter")).alias("enter"),
-            F.coalesce("root_id", "r2").alias("root_id"),
-        )
-        new = s.cut(new, "links")
-        s.drop(links)
-        links = new
-    good = chained.join(links.select("head", "root_id", F.col("depth").alias("cd"), F.col("enter").alias("ce")), "head").select(
+    links = _jump(links.withColumn("up", F.coalesce("up", "head")), "head", "up", F.col("up") == F.col("head"), ["depth", "enter"], s)
+    good = chained.join(links.select("head", F.col("up").alias("root_id"), F.col("depth").alias("cd"), F.col("enter").alias("ce")), "head").select(
         "id", "parent", "root_id", (F.col("cd") + F.col("pos")).cast("int").alias("depth"), (F.col("size") - 1).alias("n_descendants"),
         "head", "pos", (F.col("ce") + F.col("pos")).alias("enter"), (F.col("ce") + F.col("pos") + F.col("size")).alias("leave"),
     )
+    if cyclic is None:
+        return good
     null = F.lit(None)
     bad = cyclic.join(nodes, "id").select(
         "id", "parent", F.lit("").alias("root_id"), F.lit(-1).alias("depth"), null.cast("long").alias("n_descendants"),
