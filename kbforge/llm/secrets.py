@@ -25,10 +25,10 @@ from kbforge.llm.tokens import VOCABULARY, encoder
 
 CHARS_PER_TOKEN = 2.75
 # Words in names of credentials; those that may hold a password made of words; words that make a name harmless.
-PASSWORD_WORDS = frozenset("password passwd pwd pass passphrase passwort kennwort passcode contrasena contraseña motdepasse mdp".split())
+PASSWORD_WORDS = frozenset("password passwd pwd pw pass passphrase passwort kennwort passcode contrasena contraseña motdepasse mdp".split())
 SECRET_WORDS = PASSWORD_WORDS | frozenset("secret token apikey auth authorization key credential credentials bearer signature pat jwt sas conn".split())
 HARMLESS_WORDS = frozenset("name file path dir url uri ttl length min max count limit len type kind public pub pubkey policy size expiry expires ring rotation schema sort cache primary foreign map board id ids fingerprint digest sha256 sha1 md5 checksum hash sum version rev format hint prompt label field column header".split())
-_GATE = re.compile(r"(?i)pass|pwd|mdp|secret|token|key|conn|auth|cred|clave|contrase|kennwort|jwt|hooks?[.-]|://[^\s/:@]*:[^\s/@]+@|AKIA|bearer|\b[a-z]{2,5}_[a-z]{2,5}_\w{16}|xox[a-z]-|gh[a-z]_|glpat-|npm_|eyJ|\s-u\s")
+_GATE = re.compile(r"(?i)pass|pwd|\bpw\b|log-?[io]n\b|mdp|secret|token|key|conn|auth|cred|clave|contrase|kennwort|jwt|hooks?[.-]|://[^\s/:@]*:[^\s/@]+@|AKIA|bearer|\b[a-z]{2,5}_[a-z]{2,5}_\w{16}|xox[a-z]-|gh[a-z]_|glpat-|npm_|eyJ|\s-u\s")
 # Signs of the rules below that the gate lacks: (literal to look for first, in lower case or as written; pattern).
 _SIGNS_LOWER = [("signature", re.compile(r"(?i)signature")), ("basic", re.compile(r"(?i)basic\s")), ("hook", re.compile(r"(?i)hook[\w.-]*/"))]
 _SIGNS = [(x, re.compile(x + y)) for x, y in (("ASIA", "[A-Z0-9]"), ("AIza", r"[\w-]"), ("SG", r"\.[\w-]"), ("k_live_", ""), ("k_test_", ""), ("_pat_", ""), ("-u=", ""), ("--user", r"[\s=]"))]
@@ -39,6 +39,7 @@ for _w in ("pat", "sas"):
         _SIGNS.append((_x, re.compile(_x + _before + ("(?![A-Za-zÀ-ÿ0-9])" if _k == 3 else "(?![a-zà-ÿ0-9])"))))
 _ENTITY = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)")  # as html.unescape reads them
 _PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_KEY_LINES = re.compile(r"""(?:(?:\\[nr]|[\s"'+,>#*|-])*(?:(?:Proc-Type|DEK-Info|Version|Comment): [^\n\\]*|[A-Za-z0-9+/]{24,}={0,2}|[A-Za-z0-9+/]{2,}={1,2})(?![\w+/=]))*""")
 _LOGIN = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://([^\s/:@'\"<>]*):([^\s/@'\"<>]+)@[\w\[]", re.I)
 _HEADER = re.compile(r"(?i)\b(?:authorization|x-auth-token|x-api-key|private-token|x-[a-z-]*(?:token|key|secret))\b['\"]?\s*[:=,]\s*['\"]?\s*(?:(?:basic|bearer|token|apikey)\s+)?([^\s'\",;<>]{8,})")
 _SCHEME = re.compile(r"(?i)\b(?:bearer|basic)\s+([A-Za-z0-9+/_.=~-]{12,})")
@@ -46,8 +47,10 @@ _WEBHOOK = re.compile(r"(?i)https?://[\w.-]*(?:hook|webhook)[\w.-]*/(?:[\w-]+/)*
 _PREFIXED = re.compile(r"\b(?:(AKIA|ASIA)[A-Z0-9]{16}\b|(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|glpat-[\w-]{16,}|xox[abpsr]-[\w-]{16,}|npm_[A-Za-z0-9]{20,}|[a-z]{2,6}_pat_[A-Za-z0-9]{16,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}|AIza[\w-]{30,}|SG\.[\w-]{16,}\.[\w-]{16,})")
 _CONNECTION = re.compile(r"(?i)\b(AccountKey|SharedAccessKey|Password|Pwd)=([^;'\"\s<>]{6,})")
 _CURL = re.compile(r"\bcurl\b.*?\s(?:-u|--user)[\s=]+['\"]?([^\s:'\"]+):([^\s'\"]+)")
+# "login NAME / PASSWORD" in remarks.
+_PAIR = re.compile(r"(?i)\b(?:log-?[io]n|account|credentials?|creds)\b:?\s+[\w.@-]+\s+/\s+([^\s'\",;<>]{6,})")
 _NAMED = re.compile(
-    r"(?P<name>[A-Za-zÀ-ÿ_][\wÀ-ÿ.-]{0,79})[\"'\]]{0,3}\s{0,3}(?::\s?(?:str|string|String|bytes|&str)\s{0,3}=|:=|=>|->|==?|:|,|\s)\s{0,3}"
+    r"(?<![\wÀ-ÿ])\d*(?P<name>[A-Za-zÀ-ÿ_][\wÀ-ÿ.-]*)[\"'\]]{0,3}\s{0,3}(?::\s?(?:str|string|String|bytes|&str)\s{0,3}=|:=|=>|->|==?|:|,|\s)\s{0,3}"
     r"(?P<value>[rbuf]?\"(?:[^\"\\\n]|\\.)*\"|[rbuf]?'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|[^\s\"'`,;<>(){}\[\]]+)"
 )
 _SPLIT = re.compile(r"[^A-Za-zÀ-ÿ0-9]+|(?<=[a-zà-ÿ0-9])(?=[A-Z])")
@@ -85,7 +88,7 @@ def _named(m: re.Match) -> tuple[int, int] | None:
     value, at = m["value"], m.start("value")
     quoted = value[-1] in "\"'`" and len(value) > 1
     between = m.string[m.end("name") : at]
-    if not quoted and ("," in between or not between.strip("\"'] ") and not m.string[: m.start()].endswith("-")):
+    if not quoted and ("," in between or not between.strip("\"'] ") and m.string[m.start() - 1 : m.start()] != "-"):
         return None
     if quoted:
         cut = 2 if value[0] in "rbuf" and value[1] in "\"'" else 1
@@ -132,6 +135,9 @@ def spans(line: str) -> list[tuple[int, int]]:
     for m in _CONNECTION.finditer(line):
         if _is_literal(m[2]) and unnatural(m[2], 8):
             out.append(m.span(2))
+    for m in _PAIR.finditer(line):
+        if _is_literal(m[1]) and re.search(r"\d", m[1]) and (unnatural(m[1], 8) or re.search(r"[A-Z]", m[1])):
+            out.append(m.span(1))
     at = 0
     while m := _NAMED.search(line, at):
         s = _named(m)
@@ -210,9 +216,12 @@ def redact(text: str | None) -> str | None:
     for _, start, _, line in _hits(text):
         for a, b in _line_spans(line):
             chars[start + a : start + b] = "X" * (b - a)
-    for m in re.finditer(r"(-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)(.*?)(?=-----END |\Z)", text, re.S):
-        body = re.sub(r"\\[nr]|[A-Za-z0-9+/=]", lambda x: x[0] if x[0][0] == "\\" else "X", m[2])
-        chars[m.start(2) : m.end(2)] = body
+    for m in _PRIVATE.finditer(text):
+        # Up to the end mark; a block cut off before it ends with its lines of key text.
+        end, nxt = text.find("-----END ", m.end()), text.find("-----BEGIN ", m.end())
+        if end < 0 or 0 <= nxt < end:
+            end = _KEY_LINES.match(text, m.end()).end()
+        chars[m.end() : end] = re.sub(r"\\[nr]|[A-Za-z0-9+/=]", lambda x: x[0] if x[0][0] == "\\" else "X", text[m.end() : end])
     return "".join(chars)
 
 

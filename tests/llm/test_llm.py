@@ -207,6 +207,45 @@ def test_secrets_by_each_rule_alone():
         assert secrets.lines(b) == [], b
 
 
+def test_secrets_without_caps():
+    """Long names, long passwords, remarks, and a private key that is cut off."""
+    for line in ("# TODO remove, pw=9%vDhpmt1PQOH7q", "# old login crawl_admin / 0c7PSiMYzCZs9k7q", "x" * 200 + "_password = 'Chunk-skewed!76'", 'password = "' + "aB3!" * 100 + '"', "1password=Chunk-skewed!76x"):
+        assert secrets.lines(line) == [1], line
+        assert len(secrets.redact(line)) == len(line)
+    for line in ("# the old login page / index", "pw = os.environ['PW']", "login user / password"):
+        assert secrets.lines(line) == [], line
+    body = "\n".join("MIIEpAIBAAKCAQEA7bq2Lk9XwTn5vY8rZ1sD4fG6hJ3mP0cVxQeRtUyIoA" for _ in range(3))
+    text = "k = '''-----BEGIN " + "RSA PRIVATE KEY-----\n" + body + "\nQxavWC3vh4zxL==\n'''\ndef f(x):\n    return x + 1\n"
+    red = secrets.redact(text)
+    assert "MIIE" not in red and "QxavWC" not in red and red.endswith("\n'''\ndef f(x):\n    return x + 1\n") and len(red) == len(text)
+    compile(red, "redacted", "exec")
+    long = "a-" * 20_000 + " x_1y" * 20_000
+    assert secrets.lines(long + " token") == []
+
+
+def test_redacted_source_files_still_parse():
+    """Every source file of the small table that parses does so after redaction, and no reported line keeps a credential."""
+    import ast
+
+    import pyarrow.parquet as pq
+
+    parsed = 0
+    for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text", "file_path"]).to_pylist():
+        text = r["text"] or ""
+        red = secrets.redact(text) or ""
+        assert len(red) == len(text) and red.count("\n") == text.count("\n")
+        still, rows = secrets.lines(red), red.split("\n")
+        assert all(secrets._PRIVATE.search(rows[no - 1]) for no in still)
+        if r["file_path"].endswith(".py"):
+            try:
+                ast.parse(text)
+            except (SyntaxError, ValueError):
+                continue
+            ast.parse(red)
+            parsed += 1
+    assert parsed > 20
+
+
 def test_redaction_of_escaped_lines():
     import html
 
