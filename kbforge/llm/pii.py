@@ -69,6 +69,16 @@ def reader(path: str = MODEL) -> Reader:
     return Reader(path)
 
 
+def _spaced(piece: str) -> str:
+    """The piece as the tagger reads it: an equals sign before a number written as an id or phone number is a space."""
+    at = piece.find("=")
+    while at >= 0:
+        if _SSN.match(piece, at + 1) or _DIALLED.match(piece, at + 1):
+            piece = piece[:at] + " " + piece[at + 1 :]
+        at = piece.find("=", at + 1)
+    return piece
+
+
 def regions(text: str, ordinary) -> list[tuple[int, int]]:
     """Merged (start, end) of the places to be read, in order."""
     spans = []
@@ -77,9 +87,10 @@ def regions(text: str, ordinary) -> list[tuple[int, int]]:
     for r, left, right in ((_DIGITS, 28, 16), (_ID_LIKE, 28, 16), (_POSTCODE, 64, 24)):
         for m in r.finditer(text):
             before = text[m.start() - 1] if m.start() else " "
-            if not (before.isalnum() and r is not _ID_LIKE or before in "/=._-"):
+            written = before == "=" and (_SSN.match(text, m.start()) or _DIALLED.match(text, m.start()))
+            if written or not (before.isalnum() and r is not _ID_LIKE or before in "/=._-"):
                 spans.append((m.start() - left, m.end() + right))
-    unknown = {w for w in set(_CAP.findall(text)) if not ordinary(w) and len(w) < 40}
+    unknown = {w for w in set(_CAP.findall(text)) if not ordinary(w)}
     if unknown:
         for m in _CAP.finditer(text):
             if m[0] in unknown:
@@ -128,6 +139,18 @@ def _windows(n: int) -> list[tuple[int, int]]:
     return [(s, s + WINDOW) for s in starts]
 
 
+def _batches(order: list[int], lengths: list[int]) -> Iterator[list[int]]:
+    """Runs of an order by rising length whose padded size stays below BATCH_WINDOWS windows; a longer piece is alone."""
+    part: list[int] = []
+    for k in order:
+        if part and (len(part) + 1) * lengths[k] > BATCH_WINDOWS * WINDOW:
+            yield part
+            part = []
+        part.append(k)
+    if part:
+        yield part
+
+
 def tag(pieces: list[str], r: Reader) -> list[list[tuple[int, int, str]]]:
     """Spans (start, end, kind) of each piece of text."""
     seqs = [(encode(p), char_flags(p, r.ordinary)) for p in pieces]
@@ -151,9 +174,8 @@ def tag(pieces: list[str], r: Reader) -> list[list[tuple[int, int, str]]]:
             weight[k][a:b] += w
     out: list[list[tuple[int, int, str]]] = [[] for _ in pieces]
     order = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))
-    for lo in range(0, len(order), BATCH_WINDOWS):
-        part = order[lo : lo + BATCH_WINDOWS]
-        size = max(len(pieces[k]) for k in part)
+    for part in _batches(order, [len(p) for p in pieces]):
+        size = len(pieces[part[-1]])
         e = np.zeros((size, len(part), len(TAGS)), np.float32)
         lengths = np.array([len(pieces[k]) for k in part])
         for i, k in enumerate(part):
@@ -249,14 +271,14 @@ def read(texts: list[str], allowed: re.Pattern | None = None) -> list[list[tuple
     cache: dict[str, int] = {}
     pieces: list[str] = []
     for i, a, b in places:
-        p = texts[i][a:b]
+        p = _spaced(texts[i][a:b])
         if p not in cache:
             cache[p] = len(pieces)
             pieces.append(p)
     tagged = tag(pieces, r) if pieces else []
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     for i, a, b in places:
-        found = [(x + a, y + a, k) for x, y, k in tagged[cache[texts[i][a:b]]]]
+        found = [(x + a, y + a, k) for x, y, k in tagged[cache[_spaced(texts[i][a:b])]]]
         out[i] += checked(texts[i], found, allowed, r.ordinary)
     return out
 

@@ -328,6 +328,15 @@ def test_pii():
     assert pii.read([long + texts[1] + long], allowed)[0][0][2] == "person"
 
 
+def test_pii_after_equals_signs_and_in_long_words():
+    texts = ["Form: ssn=922-22-3355 was sent.", "config phone=617-555-0142 stays", "build=2025.4.847.8560 sha=9f8e7d6c5b4a", "x=1234567890123456789012"]
+    assert [{k for *_, k in s} for s in pii.read(texts)] == [{"id_number"}, {"phone"}, set(), set()]
+    assert [len(x) for x in pii._batches([0, 1, 2], [10, pii.WINDOW * pii.BATCH_WINDOWS // 2, 10**6])] == [2, 1]
+    long = "Call +1 617 555 0142 " * 3000
+    (spans,) = pii.read([long])
+    assert len(spans) == 3000 and "617" not in pii.redact(long, spans)
+
+
 def test_windows_cover_everything():
     for n in (1, 96, 97, 150, 1000):
         w = pii._windows(n)
