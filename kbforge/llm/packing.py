@@ -1,8 +1,8 @@
 """Filling fixed-capacity containers: non-negative least squares over shallow length combinations, then greedy residuals.
 
 Plan (driver): only the histogram of sizes is gathered; it has at most `capacity` entries whatever the data's size. Every
-combination of up to three lengths filling the capacity (up to a slack) is a pattern; repeat counts solve min |A x - h|, x >= 0,
-by accelerated projected gradients; counts are rounded down to what the histogram holds; what remains is packed by repeating
+combination tried of up to three lengths with repeats filling the capacity (up to a slack) is a pattern; repeat counts solve min |A x - h|, x >= 0,
+by accelerated projected gradients; counts are rounded, as far as the histogram holds the items; what remains is packed by repeating
 greedy patterns, largest length first.
 Assignment (cluster): items get a rank within their size, and rank ranges map to containers; ranks are built from bucket
 counts, so a size held by a third of the items is spread over tasks.
@@ -20,63 +20,79 @@ from pyspark.sql import Window as W
 
 from kbforge.runtime import Scratch
 
-MAX_COMBINATIONS = 4_000_000
+#: Combinations are tried evenly over all lengths; this many are aimed at. Lengths in few or no combinations are packed greedily all the same.
+AIM_COMBINATIONS = 400_000
 RANK_BUCKET_ROWS = 20_000
 
 
-def combinations(lengths: np.ndarray, capacity: int, slack: int) -> np.ndarray:
-    """Rows (a, b, c) of indices into lengths + 1 (0: unused), a >= b >= c, with a sum in [capacity - slack, capacity]."""
+def combinations(lengths: np.ndarray, capacity: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of (indices into the sorted lengths + 1, repeats), each of up to three distinct lengths, that fill the capacity up to slack (index 0: unused).
+
+    A length is taken as often as it fits, or half as often; a smaller one as often as the rest has room; a third one fills what is left.
+    """
     ls = np.sort(lengths)
-    out = [np.array([[i + 1, 0, 0] for i in np.flatnonzero(ls >= capacity - slack)], dtype=np.int32).reshape(-1, 3)]
-    total = 0
+    stride = max(1, int(len(ls) ** 2 // AIM_COMBINATIONS))
+    index, times = [], []
     for i, a in enumerate(ls):
-        if a >= capacity or 3 * a < capacity - slack:
-            continue
-        rest = capacity - a
-        j = np.flatnonzero((ls <= min(a, rest)) & (2 * ls >= rest - slack))
-        if not len(j):
-            continue
-        b = ls[j]
-        two = j[b >= rest - slack]
-        out.append(np.column_stack([np.full(len(two), i + 1), two + 1, np.zeros(len(two), int)]).astype(np.int32))
-        k = np.searchsorted(ls, np.minimum(rest - b, b), side="right") - 1
-        good = (k >= 0) & (ls[np.maximum(k, 0)] + b >= rest - slack)
-        three = np.column_stack([np.full(good.sum(), i + 1), j[good] + 1, k[good] + 1]).astype(np.int32)
-        out.append(three)
-        total += len(two) + len(three)
-        if total > MAX_COMBINATIONS:
-            break
-    return np.concatenate(out)
-
-
-def nnls(combos: np.ndarray, h: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """min |A x - h|^2, x >= 0, where column j of A counts the lengths of combination j; A is never stored."""
+        for m in sorted({capacity // a, (capacity // a + 1) // 2}):
+            rest = int(capacity - m * a)
+            if rest <= slack:
+                index.append(np.array([[i + 1, 0, 0]]))
+                times.append(np.array([[m, 0, 0]]))
+                continue
+            b = np.arange(i % stride, min(i, int(np.searchsorted(ls, rest, side="right"))), stride)
+            j = rest // ls[b]
+            left = rest - j * ls[b]
+            c = np.where(left <= slack, -1, np.searchsorted(ls, left, side="right") - 1)
+            good = (left <= slack) | (c >= 0) & (left - ls[c] <= slack)
+            b, j, c = b[good], j[good], c[good]
+            index.append(np.column_stack([np.full(len(b), i + 1), b + 1, c + 1]))
+            times.append(np.column_stack([np.full(len(b), m), j, (c >= 0).astype(int)]))
+    none = np.zeros((0, 3), dtype=np.int32)
+    return np.concatenate([none, *index]).astype(np.int32), np.concatenate([none, *times]).astype(np.int32)
+
+
+def nnls(combos: np.ndarray, times: np.ndarray, h: np.ndarray, rounds: int = 300, enough: float = 1e-3) -> np.ndarray:
+    """min |A x - h|^2, x >= 0, where column j of A counts the lengths of combination j; A is never stored.
+
+    Ends when a round moves x by less than the share `enough` of its size.
+    """
     n = len(h) + 1
     target = np.concatenate([[0.0], h])
-    cols = [combos[:, i] for i in range(combos.shape[1])]
+    cols = [(combos[:, i], times[:, i].astype(float)) for i in range(combos.shape[1])]
 
     def residual(x: np.ndarray) -> np.ndarray:
         r = -target.copy()
-        for c in cols:
-            r += np.bincount(c, weights=x, minlength=n)
+        for c, t in cols:
+            r += np.bincount(c, weights=x * t, minlength=n)
         r[0] = 0.0
         return r
 
-    deg = np.bincount(combos.ravel(), minlength=n).astype(float)
-    deg[0] = 0.0
+    deg = residual(np.ones(len(combos))) + target
     # Gershgorin-type bound per column: scaled steps converge faster than one global step.
-    lip = np.maximum(sum(deg[c] for c in cols) / 1.0, 1.0)
+    lip = np.maximum(sum(t * deg[c] for c, t in cols), 1.0)
     x = np.zeros(len(combos))
     y, t = x.copy(), 1.0
     for _ in range(rounds):
         r = residual(y)
-        new = np.maximum(y - sum(r[c] for c in cols) / lip, 0.0)
+        new = np.maximum(y - sum(w * r[c] for c, w in cols) / lip, 0.0)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         y = new + (t - 1) / t2 * (new - x)
+        moved = np.abs(new - x).sum()
         x, t = new, t2
+        if moved <= enough * x.sum():
+            break
     return x
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Whole numbers with the same sum up to one: shares are carried on to the next combination (largest first)."""
+    order = np.argsort(-x, kind="stable")
+    out = np.zeros(len(x), dtype=np.int64)
+    out[order] = np.diff(np.floor(np.concatenate([[0.0], np.cumsum(x[order])]) + 1e-6)).astype(np.int64)
+    return out
+
+
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Patterns ({size: items per container}, repeats) that hold every item of the histogram (sizes 1..capacity)."""
     sizes = np.array(sorted(histogram), dtype=np.int64)
@@ -84,18 +100,12 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
         return []
     left = np.array([histogram[int(s)] for s in sizes], dtype=np.int64)
     patterns: list[tuple[dict[int, int], int]] = []
-    combos = combinations(sizes, capacity, max(1, capacity // 512))
+    combos, repeats = combinations(sizes, capacity, max(1, capacity // 512))
     if len(combos):
-        x = nnls(combos, left.astype(float))
-        for j in np.argsort(-x, kind="stable"):
-            times = int(x[j] + 1e-6)
-            if times < 1:
-                break
-            need: dict[int, int] = {}
-            for k in combos[j]:
-                if k:
-                    need[int(k) - 1] = need.get(int(k) - 1, 0) + 1
-            times = min([times, *(int(left[k]) // m for k, m in need.items())])
+        x = rounded(nnls(combos, repeats, left.astype(float)))
+        for j in np.flatnonzero(x)[np.argsort(-x[x > 0], kind="stable")]:
+            need = {int(k) - 1: int(m) for k, m in zip(combos[j], repeats[j], strict=True) if k}
+            times = min([int(x[j]), *(int(left[k]) // m for k, m in need.items())])
             if times:
                 for k, m in need.items():
                     left[k] -= times * m

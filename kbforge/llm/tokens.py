@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
 from functools import lru_cache
 
 import pandas as pd
@@ -13,9 +12,6 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: word pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Runs without white space longer than this are encoded in pieces, as byte-pair merging is quadratic in a run.
-LONGEST_RUN = 2_000
-_LONG = re.compile(r"\S{%d,}" % LONGEST_RUN)
 
 
 @lru_cache(maxsize=4)
@@ -27,22 +23,8 @@ def encoder(path: str = VOCABULARY):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(text: str) -> list[str]:
-    """The text in order, cut only inside very long runs without white space."""
-    if len(text) < LONGEST_RUN or not _LONG.search(text):
-        return [text]
-    out, at = [], 0
-    for m in _LONG.finditer(text):
-        if m.start() > at:
-            out.append(text[at : m.start()])
-        out += [text[i : min(i + LONGEST_RUN, m.end())] for i in range(m.start(), m.end(), LONGEST_RUN)]
-        at = m.end()
-    return out + ([text[at:]] if at < len(text) else [])
-
-
 def count(text: str | None, path: str = VOCABULARY) -> int:
-    e = encoder(path)
-    return sum(len(e.encode_ordinary(p)) for p in pieces(text)) if text else 0
+    return len(encoder(path).encode_ordinary(text)) if text else 0
 
 
 def token_count(text: Column, path: str = VOCABULARY) -> Column:

@@ -51,13 +51,26 @@ def test_packing(spark):
 
 
 def test_nnls_reaches_the_histogram():
-    combos = np.array([[1, 2, 0], [3, 0, 0], [1, 1, 2]])
+    combos, times = np.array([[1, 2, 0], [3, 0, 0], [1, 2, 0]]), np.array([[1, 1, 0], [1, 0, 0], [2, 1, 0]])
     h = np.array([30.0, 20.0, 7.0])
-    x = packing.nnls(combos, h)
+    x = packing.nnls(combos, times, h, enough=1e-9)
     a = np.zeros(4)
     for c in range(3):
-        a += np.bincount(combos[:, c], weights=x, minlength=4)
+        a += np.bincount(combos[:, c], weights=x * times[:, c], minlength=4)
     assert np.allclose(a[1:], h, atol=0.5) and (x >= 0).all()
+    assert packing.rounded(np.array([0.4, 2.5, 0.3, 0.9])).sum() == 4
+
+
+def test_combinations_reach_all_lengths():
+    """Capacity 8192 with every length present: combinations with largest lengths over the whole range, each filling the container."""
+    lengths = np.arange(1, 8193)
+    combos, times = packing.combinations(lengths, 8192, 16)
+    total = (np.concatenate([[0], lengths])[combos] * times).sum(axis=1)
+    assert total.min() >= 8192 - 16 and total.max() <= 8192
+    assert len(np.unique(combos[:, 0])) > 8000 and len(combos) < 4 * packing.AIM_COMBINATIONS
+    plan = packing.plan({int(z): 3 for z in range(1, 1200)}, 8192)
+    assert sum(z * m * t for need, t in plan for z, m in need.items()) == 3 * sum(range(1, 1200))
+    assert all(sum(z * m for z, m in need.items()) <= 8192 for need, _ in plan)
 
 
 def test_mixing(spark):
@@ -345,5 +358,5 @@ def test_windows_cover_everything():
 
 def test_tokens():
     t = "word " * 10 + "a" * 10_000 + " tail"
-    assert "".join(tokens.pieces(t)) == t and tokens.count(None) == 0 and tokens.count("") == 0
+    assert tokens.count(t) == len(tokens.encoder().encode_ordinary(t)) and tokens.count(None) == 0 and tokens.count("") == 0
     assert tokens.count("hello world") == 2
