@@ -46,23 +46,23 @@ KINDS = [
     ("md", "front", ["---"], r"(?m)\A---[ \r]*\n((?:[\w-]+:[^\n]*\n(?:[ -][^\n]*\n)*)+)---[ \r]*$"),
     ("md", "heading", ["#"], r"(?m)^ {0,3}(#{1,6})[ \t]+\S[^\n]*$"),
     ("md", "setext", ["\n==", "\n--"], r"(?m)^([^\s|>#*+-][^\n]*)\n(?:={3,}|-{4,})[ \r]*$"),
-    ("md", "link", ["]("], r"!?\[([^\]\n]{0,300})\]\([^)\n ]+(?: +\"[^\"\n]*\")?\)"),
-    ("md", "reference", ["]"], r"\[([^\]\n]{1,200})\]\[[^\]\n]*\]|(?m:^\[([^\]\n]+)\]: +\S+)|\[\^[^\]\n]{1,40}\]"),
+    ("md", "link", ["]("], r"!?\[((?:[^\[\]\n]|!\[[^\[\]\n]*\]\([^)\n ]*\))*)\]\([^)\n ]+(?: +\"[^\"\n]*\")?\)"),
+    ("md", "reference", ["]"], r"\[([^\[\]\n]+)\]\[[^\[\]\n]*\]|(?m:^\[([^\[\]\n]+)\]: +\S+)|\[\^[^\[\]\n]+\]"),
     ("md", "strong", ["**", "__"], r"\*\*(?=\S)([^*\n]*?\S)\*\*(?!\*)|(?<![\w_])__(?=\S)([^_\n]*?\S)__(?!\w)"),
-    ("md", "emphasis", ["*", "_"], r"(?<![\w*\\])\*(?=[^\s*])([^*\n]{0,120}?[^\s*])\*(?![\w*])|(?<![\w_\\/])_(?=[^\s_])([^_\n]{0,120}?[^\s_])_(?![\w_])"),
+    ("md", "emphasis", ["*", "_"], r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*?[^\s*])\*(?![\w*])|(?<![\w_\\/])_(?=[^\s_])([^_\n]*?[^\s_])_(?![\w_])"),
     ("md", "strike", ["~~"], r"~~(?=\S)([^~\n]*?\S)~~"),
     ("md", "code", ["`"], r"(?<!`)`([^`\n]+)`(?!`)"),
     ("md", "table", ["---"], r"(?m)^[ \t]*\|?(?:[ \t]*:?-{3,}:?[ \t]*\|)+[ \t]*:?-*:?[ \t\r]*$()"),
     ("md", "quote", [">"], r"(?m)^ {0,3}(>)[ \t]?\S[^\n]*$"),
     ("md", "task", ["[ ]", "[x]", "[X]"], r"(?m)^[ \t]*[-*+] (\[[ xX]\]) "),
-    ("tex", "display", ["$$", "\\["], r"(?s)\$\$(.{1,600}?)\$\$|\\\[(.{1,600}?)\\\]"),
-    ("tex", "inline", ["$"], r"(?<![\\$\w])\$(?=\S)([^$\n]{1,120}?)(?<=\S)\$(?![\w$])"),
+    ("tex", "display", ["$$", "\\["], r"\$\$([^$]+)\$\$|\\\[((?:[^\\]|\\(?![\[\]]))+)\\\]"),
+    ("tex", "inline", ["$"], r"(?<![\\$\w])\$(?=\S)([^$\n]+?)(?<=\S)\$(?![\w$])"),
     ("tex", "verbatim", ["\\begin"], r"(?s)\\begin\{(?P<n>verbatim|lstlisting|minted)\}(.*?)\\end\{(?P=n)\}"),
-    ("tex", "command", ["\\"], r"\\(?P<n>[a-zA-Z]{2,})\*?(?=[^a-zA-Z]|$)(\{[^{}\n]{0,300}\}|\[[^\[\]\n]{0,100}\])?"),
+    ("tex", "command", ["\\"], r"\\(?P<n>[a-zA-Z]{2,})\*?(?=[^a-zA-Z]|$)(\{(?:[^{}\n]|\n(?!\s*\n))*\}|\[[^\[\]\n]*\])?(?:\{(?:[^{}\n]|\n(?!\s*\n))*\})*"),
     ("wiki", "heading", ["=="], r"(?m)^(={2,6}) ?[^=\n]+? ?\1[ \t\r]*(?:$| )"),
     ("wiki", "hn", ["h1.", "h2.", "h3.", "h4."], r"(?m)^(h[1-6])\. \S[^\n]*$"),
-    ("wiki", "link", ["[["], r"\[\[([^\[\]\n]{1,300})\]\]"),
-    ("wiki", "template", ["{{"], r"\{\{([^{}\n]{1,300})(?:\}\}|$)"),
+    ("wiki", "link", ["[["], r"\[\[([^\[\]\n]+)\]\]"),
+    ("wiki", "template", ["{{"], r"\{\{([^{}]+)\}\}|\{\{([^{}\n]+)$"),
     ("wiki", "quotes", ["''"], r"''+(?=\S)([^'\n]+?)''+"),
     ("wiki", "table", ["||", "{|", "|-", "|}"], r"(?m)^\|\|[^\n]*\|\|[ \r]*$()|^\{\|[^\n]*$|^\|[-}][^\n]*$"),
     ("wiki", "macro", ["{"], r"(?s)\{(?P<n>code|noformat)(?::[^{}\n]*)?\}(.*?)\{(?P=n)\}|\{(?:color|quote|panel|info|note|warning)(?::[^{}\n]*)?\}()"),
@@ -132,15 +132,15 @@ def node_features(text: str, nodes: list[Node], md_suffix: bool, only: list[int]
     size = max(1, len(text))
     for r, j in enumerate(places):
         n = nodes[j]
-        inner = text[n.a : n.b] if n.b - n.a < 2000 else text[n.a : n.a + 2000]
+        inner = text[n.a : n.b]
         attrs = len(inner.split()) if NAMES[n.kind] in ("html_tag", "tex_command") else inner.count("|") + inner.count(":")
         span = n.end - n.start
-        letters = sum(c.isalpha() for c in inner[:200])
+        letters = sum(map(str.isalpha, inner))
         known = n.name.lower() in HTML_NAMES if NAMES[n.kind] == "html_tag" else n.name in TEX_NAMES if NAMES[n.kind] == "tex_command" else n.name[:1] == "#" or n.name.lower() in html.entities.name2codepoint if NAMES[n.kind] == "html_entity" else not (text[n.start] == "_" and inner in PYTHON_NAMES) if NAMES[n.kind] == "md_strong" else True
         x[r] = (
             n.kind, _FAMILY[n.kind], np.log1p(span), len(inner) / max(1, span), np.log1p(attrs), n.depth, np.log1p(siblings[(n.parent, n.kind)]),
             np.log1p(kinds[n.kind]), np.log1p(families[_FAMILY[n.kind]]), distinct[_FAMILY[n.kind]], _char(text, n.start - 1), _char(text, n.end),
-            float(known), float(n.name.lower() in closing), float(bool(re.fullmatch(r"\w*", inner))), letters / max(1, len(inner[:200])),
+            float(known), float(n.name.lower() in closing), float(bool(re.fullmatch(r"\w*", inner))), letters / max(1, len(inner)),
             float(bool(re.search(r"[\\^{}=+]|\w\(", inner))), np.log1p(children[j]) + child_chars[j] / max(1, span), float(md_suffix), np.log1p(1000 * kinds[n.kind] / size),
         )
         if n.start and text[n.start - 1] == ":":
@@ -226,6 +226,20 @@ def holds_markup(texts: list[str], md: list[bool], first: int = 6) -> list[bool]
 _BLOCK_TAGS = frozenset("p div ul ol table tr section article header footer blockquote br hr h1 h2 h3 h4 h5 h6 pre dl figure html head body title".split())
 
 
+# LaTeX commands that are parts of formulas, and those whose arguments are no text.
+TEX_FORMULA = frozenset("frac sum prod int alpha beta gamma delta lambda mu sigma theta pi le ge leq geq neq sqrt mathbb mathcal mathrm left right cdot times infty partial approx to in".split())
+TEX_SILENT = frozenset("documentclass usepackage begin end label ref eqref cite pageref includegraphics bibliography bibliographystyle input include maketitle tableofcontents hline newpage vspace hspace setlength pagestyle".split())
+
+
+def _template(inner: str) -> str:
+    """The arguments of a wiki template: unnamed ones one after the other, named ones as "name: value"."""
+    args = [a.strip() for a in inner.split("|")[1:]]
+    named = [re.match(r"([\w .-]+?)\s*=\s*(.*)", a, re.S) for a in args]
+    plain = " ".join(a for a, m in zip(args, named, strict=True) if a and not m)
+    pairs = [f"{m[1]}: {m[2].strip()}" for m in named if m and m[2].strip()]
+    return ("\n" if "\n" in inner else ", ").join([*([plain] if plain else []), *pairs])
+
+
 def _render(text: str, n: Node) -> str:
     """Replacement of an accepted node; headings, lists, code and formulas keep a plain Markdown form."""
     kind, inner, raw = NAMES[n.kind], text[n.a : n.b], text[n.start : n.end]
@@ -240,6 +254,9 @@ def _render(text: str, n: Node) -> str:
             return " | " if closing else ""
         if name == "code":
             return "`"
+        if name == "img":
+            alt = re.search(r"""(?i)\balt\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", raw)
+            return html.unescape(next(x for x in alt.groups() if x is not None)) if alt else ""
         return "\n" if name in _BLOCK_TAGS else ""
     if kind == "html_entity":
         return html.unescape(raw)
@@ -247,8 +264,12 @@ def _render(text: str, n: Node) -> str:
         m = re.match(r"<[^<>]*>(.*)</", raw, re.S)
         body = html.unescape(re.sub(r"</?code[^<>]*>", "", m[1])) if m else ""
         return "\n```\n" + body.strip("\n") + "\n```\n" if name == "pre" else ""
-    if kind in ("html_comment", "md_front", "md_table", "wiki_template", "wiki_table") and kind != "wiki_table":
+    if kind in ("html_comment", "md_table"):
         return ""
+    if kind == "md_front":
+        return inner
+    if kind == "wiki_template":
+        return _template(inner)
     if kind == "wiki_table":
         return " | ".join(c.strip() for c in raw.strip("|\r ").split("||")) if raw.startswith("||") else ""
     if kind == "md_fence":
@@ -271,13 +292,15 @@ def _render(text: str, n: Node) -> str:
     if kind in ("tex_inline", "tex_display", "md_code"):
         return raw
     if kind == "tex_command":
-        arg = inner[1:-1] if inner[:1] == "{" else ""
+        args = re.findall(r"\{([^{}]*)\}", raw)
         depth = {"chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3}.get(n.name)
         if depth:
-            return "#" * depth + " " + arg
+            return "#" * depth + " " + "".join(args[:1])
         if n.name == "item":
-            return "- "
-        return arg if n.name in ("textbf", "textit", "emph", "texttt", "underline", "title", "caption", "footnote", "text") else ""
+            return " ".join(["-", *args])
+        if n.name in TEX_FORMULA:
+            return raw
+        return "" if n.name in TEX_SILENT else args[-1] if args else ""
     return inner
 
 

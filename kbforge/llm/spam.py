@@ -6,7 +6,7 @@ central documents (all robust z-scores within a bound) gives the covariance. A p
 outlier and the deviation points in a spam direction (towards links, repetition and tags; away from entropy, function words and prose).
 
 Defined results: null, empty and very short texts (fewer than LEAST_ITEMS words and links) are never flagged; unknown languages are guessed by function
-words, else pooled; languages with few documents use the pooled statistics; source and configuration files take part in no statistics and
+words, else pooled; the statistics of a language weigh n / (n + PRIOR) against the pooled ones; source and configuration files take part in no statistics and
 are never flagged; ties and repeated rows are treated alike; an empty table gives no rows.
 """
 
@@ -38,13 +38,15 @@ DIRECTION = [1.0, -1.0, 1.0, -1.0, -1.0, 1.0]
 LEAST_SCALE = {"links": 0.25, "entropy": 0.05, "repetition": 0.08, "function_words": 0.04, "prose": 0.12, "tags": 0.25}
 CODE_SUFFIX = r"\.(py|ts|js|sh|json|ya?ml)$"
 MIN_WORDS = 20
+#: Documents at which the statistics of a language weigh as much as the pooled ones.
+PRIOR = 200
 #: A flagged page has so many words and links, lies so far out, and so far in the spam direction.
 LEAST_ITEMS, DISTANCE, TOWARDS_SPAM, ALIGNED = 12, 6.0, 5.3, 0.5
 _SETS = {k: frozenset(v.split()) for k, v in FUNCTION_WORDS.items()}
 _ANY = frozenset().union(*_SETS.values())
 _WORD = re.compile(r"[^\W\d_]+")
 _LINK = re.compile(r"https?://[^\s<>\")\]]+|\bwww\.[^\s<>\")\]]+", re.I)
-_MARKUP = re.compile(r"<[^<>]{1,300}>|&[a-z#0-9]{2,8};")
+_MARKUP = re.compile(r"<[^<>]+>|&[a-z#0-9]{2,8};")
 _CODE = re.compile(r"^(```|~~~).*?^\1|\{code(?::\w+)?\}.*?\{code\}|<pre\b.*?</pre>|\\begin\{(?:verbatim|lstlisting)\}.*?\\end\{(?:verbatim|lstlisting)\}", re.S | re.M)
 _SEGMENT = re.compile(r"[\n,;|•·]+|\s[-–—/]\s|(?<=[.!?:])\s+")
 _TAG = re.compile(r"\b[A-Z]{1,3}-?\d{2,}\b|\b\d+[.,]\d{2}\b|#\w+")
@@ -98,8 +100,8 @@ def featurized(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", "text", "lang").mapInPandas(_featurize, "doc_id long, lg string, n_words int, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
-def statistics(f: DataFrame, least: int = 200) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per language ('' pooled): medians, scales, inverse covariance of z-scores of the central documents. At most five languages."""
+def statistics(f: DataFrame, prior: int = PRIOR) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per language ('*': pooled): medians, scales, inverse covariance of z-scores of the central documents. At most six rows are collected."""
     own = f.where(F.col("n_words") >= MIN_WORDS)
     both = own.unionByName(own.withColumn("lg", F.lit("*")))
     med = {r["lg"]: r for r in both.groupBy("lg").agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5, 10_000).alias(c) for c in FEATURES]).collect()}
@@ -117,18 +119,22 @@ def statistics(f: DataFrame, least: int = 200) -> dict[str, tuple[np.ndarray, np
     central = z.where(F.greatest(*[F.abs(c) for c in FEATURES]) <= 3.5)
     prods = [F.sum(F.col(a) * F.col(b)).alias(f"s{i}_{j}") for i, a in enumerate(FEATURES) for j, b in enumerate(FEATURES) if i <= j]
     cov = {r["lg"]: r for r in central.groupBy("lg").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"m_{c}") for c in FEATURES], *prods).collect()}
-    out = {}
     d = len(FEATURES)
-    for lg, r in cov.items():
-        if lg != "*" and med[lg]["n"] < least:
-            continue
+
+    def scatter(r) -> np.ndarray:
         m = np.array([r[f"m_{c}"] for c in FEATURES]) / r["n"]
         c = np.zeros((d, d))
         for i in range(d):
             for j in range(i, d):
                 c[i, j] = c[j, i] = r[f"s{i}_{j}"] / r["n"] - m[i] * m[j]
-        c = 0.9 * c + 0.1 * np.diag(np.diag(c)) + 0.15 * np.eye(d)
-        out[lg] = (np.array([med[lg][x] for x in FEATURES]), np.array([scale[lg][x] for x in FEATURES]), np.linalg.inv(c))
+        return c
+
+    own = {lg: (np.array([med[lg][x] for x in FEATURES]), np.array([scale[lg][x] for x in FEATURES]), scatter(r)) for lg, r in cov.items()}
+    out = {}
+    for lg, stats in own.items():
+        w = 1.0 if lg == "*" else med[lg]["n"] / (med[lg]["n"] + prior)
+        m, sc, c = (w * a + (1 - w) * b for a, b in zip(stats, own["*"], strict=True))
+        out[lg] = m, sc, np.linalg.inv(0.9 * c + 0.1 * np.diag(np.diag(c)) + 0.15 * np.eye(d))
     return out
 
 

@@ -290,6 +290,51 @@ def test_trees_learn_and_markup():
     assert "## Head" in out and "- one" in out and "a < b" in out and "$x^2$ & this" in out and "<" not in out.replace("a < b", "")
 
 
+def _cleaned(doc, md=False):
+    ((nodes, keep),) = markup.decisions([doc], [md])
+    return markup.clean(doc, nodes, keep)
+
+
+def test_markup_conversion_keeps_text():
+    tex = "\\documentclass{article}\n\\title{On Queues}\n\\author{Ada Byron}\n\\section{Start}\nSee \\href{http://a.example/x}{the guide} and \\textbf{this}; $x^2$ and \\frac{a}{b}.\n\\begin{itemize}\n\\item one\n\\end{itemize}\n"
+    out = _cleaned(tex)
+    assert all(w in out for w in ("On Queues", "Ada Byron", "# Start", "the guide", "this", "$x^2$", "\\frac{a}{b}", "- one")) and "{the guide}" not in out and "itemize" not in out
+    wiki = "== Head ==\nIt is {{convert|5|km}} long.\n{{Infobox lake\n| name = Blue Lake\n| depth = 12 m\n}}\n'''Bold''' [[Page|shown]] text.\n"
+    out = _cleaned(wiki)
+    assert all(w in out for w in ("## Head", "5 km", "name: Blue Lake", "depth: 12 m", "Bold shown text")) and "{{" not in out and "'''" not in out
+    page = '<h1>T</h1><p>Before <img src="a.png" alt="a chart"> after</p><table><tr><td>1</td><td>2</td></tr></table>'
+    out = _cleaned(page)
+    assert "# T" in out and "a chart" in out and "1 | 2" in out and "<" not in out
+    md = "---\ntitle: Notes\n---\n# Head\n\n[![logo](l.png)](http://a.example) and [link](http://b.example)\n\n```py\na = [1](2)\n```\n"
+    out = _cleaned(md, True)
+    assert "title: Notes" in out and "# Head" in out and "logo" in out and "a = [1](2)" in out and "http://b" not in out
+
+
+def test_markup_of_any_length():
+    formula = "x_{1} + " * 200 + "y^2"
+    assert _cleaned(f"# A\n\n$${formula}$$\n") == f"# A\n\n$${formula}$$"
+    name = "many words " * 60
+    assert "](" not in _cleaned(f"see [{name}](http://a.example/x) end") and "[[" not in _cleaned(f"== H ==\n[[{name}]] end")
+    assert markup.holds_markup(["[" * 20_000 + "$" * 3], [False]) in ([True], [False])
+
+
+def test_cleaned_documents_keep_their_words():
+    """Of the visible words of every document with markup, nearly all are in the clean text, and code blocks stay whole."""
+    import pyarrow.parquet as pq
+
+    rows = [r for r in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text", "file_path"]).to_pylist() if r["text"]]
+    got = markup.decisions([r["text"] for r in rows], [r["file_path"].endswith(".md") for r in rows])
+    for r, (nodes, keep) in zip(rows, got, strict=True):
+        if re.search(markup.CODE_SUFFIX, r["file_path"]):
+            continue
+        out = markup.clean(r["text"], nodes, keep)
+        plain = re.sub(r"<[^<>]*>|https?://\S+|&\w+;|\\[a-z]+|\{[^{}]*\}", " ", r["text"])
+        words, left = Counter(re.findall(r"[a-z]{4,}", plain.lower())), Counter(re.findall(r"[a-z]{4,}", out.lower()))
+        assert sum((words - left).values()) <= 0.1 * sum(words.values()) + 3, (r["text"], out)
+        for block in re.findall(r"(?ms)^```[^\n`]*\n(.*?)^```", r["text"]):
+            assert block.strip() in out
+
+
 def test_spam(spark):
     page = "\n".join(f"buy cheap lamp {c}" for c in "one two three four five six seven".split() * 8)
     prose = "The module checks the queue before the report opens, and the team reads the result. It was not easy to find the cause of the fault. " * 3
