@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import fcntl
 import os
+import shutil
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -114,15 +115,27 @@ class Store:
         v = self.version()
         return self.spark.read.parquet(f"{self.path}/v={v}") if v else None
 
+    def scratch(self, df: DataFrame, label: str) -> DataFrame:
+        """df stored for the time of a commit, so that it is computed once; dropped with the next write."""
+        at = f"{self.path}/_{label}"
+        df.write.mode("overwrite").parquet(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def write(self, df: DataFrame, keep: int = 2) -> int:
+        """Write df as the next version while the lock is held; nothing changes for readers until all of it is there. The last `keep` versions stay."""
+        v = self.version() + 1
+        df.write.mode("overwrite").parquet(f"{self.path}/v={v}")
+        with open(f"{self.path}/_CURRENT.tmp", "w") as f:
+            f.write(str(v))
+        os.replace(f"{self.path}/_CURRENT.tmp", f"{self.path}/_CURRENT")
+        for name in os.listdir(self.path):
+            if name.startswith("v=") and int(name[2:]) <= v - keep:
+                shutil.rmtree(f"{self.path}/{name}", ignore_errors=True)
+        return v
+
     def commit(self, df: DataFrame) -> int:
-        """Write df as the next version; nothing changes for readers until all of it is there."""
         with self.lock():
-            v = self.version() + 1
-            df.write.mode("overwrite").parquet(f"{self.path}/v={v}")
-            with open(f"{self.path}/_CURRENT.tmp", "w") as f:
-                f.write(str(v))
-            os.replace(f"{self.path}/_CURRENT.tmp", f"{self.path}/_CURRENT")
-            return v
+            return self.write(df)
 
 
 def recent_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbforge.operators import chunk, kb, logs, sanitize, search
-from kbforge.runtime import Scratch, table
+from kbforge.runtime import shared_dir, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -400,7 +402,9 @@ def _queries(spark, d):
 
 
 def _index(spark, d):
-    return search.Bm25Index(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"))
+    """The stored index of the documents, built by the first query of a session and opened by the others."""
+    at = f"{shared_dir(spark)}/words-{spark.sparkContext.applicationId}-{hashlib.md5(d.encode()).hexdigest()}"
+    return search.Bm25Index.build(_docs(spark, d).select(F.col("doc_id").alias("id"), "text"), at)
 
 
 _TERMS = "regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+')"
@@ -414,7 +418,12 @@ _BM = _BM25.replace("{f}", "")
 
 @query(f"WITH {_BM.rsplit('qt AS', 1)[0].rstrip().rstrip(',')} SELECT term, df FROM df")
 def bm25_index(spark, d):
-    return _index(spark, d).df
+    return _index(spark, d).df.select("term", "df")
+
+
+@query(f"WITH {_BM.rsplit(', df AS', 1)[0]} SELECT term, id, dl, tf FROM p")
+def bm25_postings(spark, d):
+    return _index(spark, d).postings.select("term", "id", "dl", "tf")
 
 
 @query(f"WITH {_BM} SELECT * FROM bm")
@@ -424,10 +433,8 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {_BM25.replace('{f}', 'WHERE p.id IN (SELECT doc_id FROM documents WHERE project = ' + q('atlas-core') + ')')} SELECT * FROM bm")
 def bm25_by_project(spark, d):
-    ix = _index(spark, d)
     keep = _docs(spark, d).where("project = 'atlas-core'").select(F.col("doc_id").alias("id"))
-    ix.postings = ix.postings.join(keep, "id", "left_semi")
-    return ix.topk(_queries(spark, d))
+    return _index(spark, d).topk(_queries(spark, d), keep=keep)
 
 
 _RRF = """v AS (SELECT query_id, id, search_rank AS vector_rank FROM vec WHERE query_id IN (SELECT query_id FROM bm)), b AS (SELECT query_id, id, search_rank AS bm25_rank FROM bm),

@@ -13,10 +13,12 @@ _own_dirs: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a private one only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); where that is unset, a private one in local mode (tests), else an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dirs:
         _own_dirs.append(tempfile.TemporaryDirectory(prefix="kbforge-"))
         atexit.register(_own_dirs[0].cleanup)

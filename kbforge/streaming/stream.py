@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,12 +31,14 @@ def index_stream(spark: SparkSession, docs: DataFrame, store: kb.Store, checkpoi
     def step(batch: DataFrame, _: int) -> None:
         b = batch.withColumn("content_hash", kb.content_hash(F.col("content")))
         one = b.groupBy("content_hash").agg(F.max_by(F.struct(*b.columns), "file_path").alias("d")).select("d.*")
-        base = store.read()
-        if base is None:
-            store.commit(to_rows(one))
-            return
-        c = kb.classify(one, base)
-        fresh = to_rows(c.where("action in ('new', 'changed')").drop("action"))
-        store.commit(kb.reconcile(base, c, "").unionByName(fresh))
+        at = datetime.now().isoformat(timespec="seconds")
+        with store.lock():  # from reading to committing, so that no writer's rows are lost
+            base = store.read()
+            if base is None:
+                store.write(to_rows(one))
+                return
+            c = store.scratch(kb.classify(one, base, cap=None), "classified")
+            fresh = to_rows(c.where("action in ('new', 'changed')").drop("action"))
+            store.write(kb.reconcile(base, c, at).unionByName(fresh))
 
     return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
