@@ -35,14 +35,14 @@ from pyspark.sql import types as T
 
 from kbforge.runtime import Scratch
 
-SHINGLE, WINDOW, BUCKETS = 5, 8, 16
+SHINGLE, WINDOW, BUCKETS = 5, 8, 8
 LEAST_COMMON = 0.72
 #: Batch tables of at most so many rows are broadcast; larger ones are joined by shuffle.
 MOST_BROADCAST = 500_000
 #: Queries with fewer words are counted by words instead of pairs; texts up to SHORT_TEXT words therefore have both.
 SHORT, SHORT_TEXT = 16, 24
 #: Words of a block of queries, of a slice of texts; neighbouring pairs counted by a dense product; hashed word counters; queries a product.
-BLOCK_WORDS, SLICE_WORDS, DENSE, COUNTERS, GROUP = 1 << 22, 1 << 19, 512, 1024, 256
+BLOCK_WORDS, SLICE_WORDS, DENSE, COUNTERS, GROUP = 1 << 22, 1 << 18, 384, 1024, 512
 _FEATURES = "id long, sha string, form string, n int, words array<int>, coords array<long>"
 
 
@@ -289,7 +289,7 @@ def _compare(block: Block):
             ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
             words += [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             held += int(ends[-1] - ends[0])
-            if held > 8 * SLICE_WORDS:
+            if held > 16 * SLICE_WORDS:
                 yield compared()
                 held = 0
         if words:
