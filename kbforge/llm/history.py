@@ -394,7 +394,7 @@ class History:
         if self._probes < 8 * BUCKETS:
             # A few probes read their own buckets only; more would touch nearly all.
             cells = cells.where(F.col("bucket").isin([r[0] for r in probes.select(F.pmod("cell", F.lit(BUCKETS)).cast("int")).distinct().collect()]))
-        old = cells.select("cell", "id").join(self._small(probes.select("cell").distinct(), self._probes), "cell", "left_semi")
+        old = cells.select("cell", "id").join(self._small(probes.select("cell"), self._probes), "cell", "left_semi")
         named = old.unionByName(probes.select("cell", F.col("qid").alias("id"))).groupBy("cell").agg(F.min("id").alias("id"))
         hits = probes.join(named, "cell").where(F.col("id") < F.col("qid")).groupBy("qid", "id").agg(F.count("*").alias("hits"))
         best = hits.groupBy("qid").agg(F.max(F.struct("hits", (-F.col("id")).alias("id"))).alias("b")).where("b.hits > 1")
