@@ -45,9 +45,10 @@ def _doubling(nodes: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame | None
     so resolved nodes are not moved again.
     """
     open_ = s.cut(nodes.where(F.col("parent").isNotNull()).select("id", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("size")), "open")
-    ledger, left, before = None, open_.count(), -1
+    ledger, fed_tables, left, before = None, [], open_.count(), -1
     while left and left != before:  # every pass resolves the shallowest open depth, so what stays never ends
         fed = s.cut(open_.groupBy(F.col("anc").alias("id")).agg(F.sum("size").alias("more")), "fed")
+        fed_tables.append(fed)
         ledger = fed if ledger is None else ledger.unionByName(fed)
         up = open_.select(F.col("id").alias("anc"), F.col("anc").alias("next"))
         new = open_.join(up, "anc").join(fed, "id", "left").select("id", F.col("next").alias("anc"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
@@ -58,15 +59,17 @@ def _doubling(nodes: DataFrame, s: Scratch) -> tuple[DataFrame, DataFrame | None
     if ledger is None:
         return tree.withColumn("size", F.lit(1).cast("long")), None
     more = ledger.groupBy("id").agg(F.sum("more").alias("more"))
-    return s.cut(tree.join(more, "id", "left").select("id", "parent", (1 + F.coalesce("more", F.lit(0))).alias("size")), "tree"), open_.select("id") if left else None
+    sized = s.cut(tree.join(more, "id", "left").select("id", "parent", (1 + F.coalesce("more", F.lit(0))).alias("size")), "tree")
+    s.drop(*fed_tables)
+    return sized, open_.select("id") if left else None
 
 
-def _jump(start: DataFrame, key: str, to: str, done: Column, add: list[str], s: Scratch) -> DataFrame:
+def _jump(start: DataFrame, key: str, to: str, done: Column, add: list[str], s: Scratch) -> tuple[DataFrame, list[DataFrame]]:
     """Pointer jumping: rows (key, to, add...) whose target is no row's key, or that are `done`, have arrived; others take over their target's pointer
-    and add its amounts until all have. Only rows on the way are moved; arrived ones are looked up."""
+    and add its amounts until all have. Only rows on the way are moved; arrived ones are looked up. Also gives the stored tables that the result reads."""
     columns = [key, to, *add]
-    state = s.cut(start.select(*columns, done.alias("done")), "jump")
-    arrived, going = [state.where("done")], state.where("not done")
+    tables = [s.cut(start.select(*columns, done.alias("done")), "jump")]
+    arrived, going = [tables[0].where("done")], tables[0].where("not done")
     while not going.isEmpty():
         every = going
         for x in arrived:
@@ -74,20 +77,23 @@ def _jump(start: DataFrame, key: str, to: str, done: Column, add: list[str], s:
         at = every.select(F.col(key).alias(to), F.col(to).alias("_to"), F.col("done").alias("_done"), *[F.col(c).alias(f"_{c}") for c in add])
         sums = [(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in add]
         new = s.cut(going.join(at, to, "left").select(key, F.coalesce("_to", to).alias(to), *sums, F.coalesce("_done", F.lit(True)).alias("done")), "jump")
+        tables.append(new)
         arrived.append(new.where("done"))
         going = new.where("not done")
     out = arrived[0]
     for x in arrived[1:]:
         out = out.unionByName(x)
-    return out.drop("done")
+    return out.drop("done"), tables
 
 
 def _chains(tree: DataFrame, s: Scratch) -> DataFrame:
     """Add head (first node of the chain) and pos (place in the chain, from 0)."""
     heavy = tree.where(F.col("parent").isNotNull()).groupBy("parent").agg(F.max(F.struct("size", "id")).alias("h")).select(F.col("h.id").alias("id"), F.col("parent").alias("hop"), F.lit(1).cast("long").alias("pos"))
-    places = _jump(heavy, "id", "hop", F.lit(False), ["pos"], s)
+    places, tables = _jump(heavy, "id", "hop", F.lit(False), ["pos"], s)
     chained = tree.join(places, "id", "left").select("id", "parent", "size", F.coalesce("hop", "id").alias("head"), F.coalesce("pos", F.lit(0)).alias("pos"))
-    return s.cut(chained, "chain")
+    chained = s.cut(chained, "chain")
+    s.drop(tree, *tables)
+    return chained
 
 
 def _entry_offsets(nodes: DataFrame) -> DataFrame:
@@ -120,7 +126,7 @@ def decompose(rows: DataFrame, id_col: str, parent_col: str) -> DataFrame:
         F.col("id").alias("head"), "up", F.coalesce(F.col("ppos") + 1, F.lit(0)).alias("depth"),
         F.coalesce(F.col("ppos") + F.col("offset"), F.lit(0)).alias("enter"),
     )
-    links = _jump(links.withColumn("up", F.coalesce("up", "head")), "head", "up", F.col("up") == F.col("head"), ["depth", "enter"], s)
+    links, _ = _jump(links.withColumn("up", F.coalesce("up", "head")), "head", "up", F.col("up") == F.col("head"), ["depth", "enter"], s)
     good = chained.join(links.select("head", F.col("up").alias("root_id"), F.col("depth").alias("cd"), F.col("enter").alias("ce")), "head").select(
         "id", "parent", "root_id", (F.col("cd") + F.col("pos")).cast("int").alias("depth"), (F.col("size") - 1).alias("n_descendants"),
         "head", "pos", (F.col("ce") + F.col("pos")).alias("enter"), (F.col("ce") + F.col("pos") + F.col("size")).alias("leave"),
