@@ -9,9 +9,9 @@ A batch finds its near repeats in two steps:
 * Probing: a query reads its own cells only; the text that most of them name is compared exactly. This settles most repeats at a cost that
   grows with the batch, not with the history.
 * Every query that this leaves open is compared with the vectors of fitting length under bounds that hold for any two close texts, so none
-  is lost: max(n, m) * LEAST_COMMON <= min(n, m); at most n + m - 2 * LCS words lie outside the common subsequence, each breaks at most one of
-  its LCS - 1 steps, so the texts share at least 3 * LCS - 1 - n - m pairs of neighbouring words (counted with repeats); and they share LCS words.
-  What passes all three is compared exactly.
+  is lost: max(n, m) * LEAST_COMMON <= min(n, m); they share LCS words (counted with repeats), so a query also shares as many with all texts of a slice
+  together, which leaves out slices in other languages; and at most n + m - 2 * LCS words lie outside the common subsequence, each breaks at most
+  one of its LCS - 1 steps, so they share at least 3 * LCS - 1 - n - m pairs of neighbouring words. What passes all of them is compared exactly.
 
 Defined results: null contents are no documents; empty contents can only be exact repeats; contents with the same words are `near`
 (or `exact` if byte for byte equal) whatever their case, white space and punctuation; ids repeated in a batch are one document;
@@ -39,10 +39,8 @@ SHINGLE, WINDOW, BUCKETS = 5, 8, 8
 LEAST_COMMON = 0.72
 #: Batch tables of at most so many rows are broadcast; larger ones are joined by shuffle.
 MOST_BROADCAST = 500_000
-#: Queries with fewer words are counted by words instead of pairs; texts up to SHORT_TEXT words therefore have both.
-SHORT, SHORT_TEXT = 16, 24
-#: Words of a block of queries, of a slice of texts; neighbouring pairs counted by a dense product; hashed word counters; queries a product.
-BLOCK_WORDS, SLICE_WORDS, DENSE, COUNTERS, GROUP = 1 << 22, 1 << 18, 384, 1024, 512
+#: Words of a block of queries, of a slice of texts; words counted by a dense product; queries a product; groups of texts by their words.
+BLOCK_WORDS, SLICE_WORDS, DENSE, GROUP, ALIKE = 1 << 22, 1 << 18, 1024, 512, 8
 _FEATURES = "id long, sha string, form string, n int, words array<int>, coords array<long>"
 
 
@@ -162,16 +160,11 @@ def _keys(words: list[np.ndarray], rows: np.ndarray, pairs: bool) -> np.ndarray:
     return key
 
 
-def _counters(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed word counts per text (8 bits), and whether they are complete."""
-    out, whole = np.zeros((len(words), COUNTERS), dtype=np.uint8), np.ones(len(words), dtype=bool)
-    for k in range(0, len(words), 256):
-        part = words[k : k + 256]
-        row = np.repeat(np.arange(len(part)), [len(w) for w in part])
-        c = np.bincount(row * COUNTERS + np.concatenate([*part, np.zeros(0, dtype=np.int32)]).view(np.uint32) % COUNTERS, minlength=len(part) * COUNTERS).reshape(-1, COUNTERS)
-        whole[k : k + 256] = c.max(axis=1) < 256
-        out[k : k + 256] = np.minimum(c, 255)
-    return out, whole
+def _held(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of every key, distinct hashes, their first key, how many keys they have) of what _keys gives."""
+    h = key >> np.uint64(24)
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), dtype=bool), h[1:] != h[:-1]]))
+    return (key & np.uint64((1 << 24) - 1)).astype(np.int32), h[start], start, np.diff(np.append(start, len(h)))
 
 
 class Block:
@@ -179,92 +172,113 @@ class Block:
 
     def __init__(self, qids: list[int], queries: list[np.ndarray]) -> None:
         order = np.argsort([len(q) for q in queries], kind="stable")
-        self.qids, self.words = np.array(qids, dtype=np.int64)[order], [queries[i] for i in order]
-        self.n = np.array([len(w) for w in self.words], dtype=np.int64)
-        self.open = np.ones(len(self.words), dtype=bool)
-        self.counts, self.whole = _counters(self.words)
-        self.short = int(np.searchsorted(self.n, SHORT))
-        self.sides = [self._side(0, self.short, False), self._side(self.short, len(self.words), True)]
-
-    def _side(self, lo: int, hi: int, pairs: bool) -> tuple:
-        """(first, last query, by pairs, distinct hashes, place of every query's hashes among them, ends)."""
-        key = _keys(self.words[lo:hi], np.arange(hi - lo), pairs)
-        row = (key & np.uint64((1 << 24) - 1)).astype(np.int64)
-        order = np.argsort(row, kind="stable")
-        known, own = np.unique(key >> np.uint64(24), return_inverse=True)
-        return lo, hi, pairs, known, own[order].astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))])
+        queries = [queries[i] for i in order]
+        self.qids = np.array(qids, dtype=np.int64)[order]
+        self.n = np.array([len(q) for q in queries], dtype=np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(self.n)])
+        self.flat = np.concatenate([*queries, np.zeros(0, dtype=np.int32)])
+        self.open = np.ones(len(queries), dtype=bool)
+        row, self.hashes, _, size = _held(_keys(queries, np.arange(len(queries)), False))
+        #: Places of every query's words (repeats counted) among the hashes, from ends to ends as the words.
+        self.own = np.repeat(np.arange(len(size), dtype=np.int32), size)[np.argsort(row, kind="stable")]
+
+    def query(self, i: int) -> np.ndarray:
+        return self.flat[self.ends[i] : self.ends[i + 1]]
 
     def against(self, ids: np.ndarray, words: list[np.ndarray]) -> list[int]:
         """qids of open queries that are close to a text with a smaller id; they are closed."""
         m = np.array([len(w) for w in words], dtype=np.int64)
-        counts, whole = _counters(words)
+        fit = self.open & (self.n >= LEAST_COMMON * m.min()) & (LEAST_COMMON * self.n <= m.max()) & (self.qids > ids.min())
+        if not fit.any():
+            return []
+        texts, held, start, size = _held(_keys(words, np.arange(len(words)), False))
+        if not len(held):
+            return []
+        at = np.minimum(np.searchsorted(held, self.hashes), len(held) - 1)
+        at = np.where(held[at] == self.hashes, at, -1).astype(np.int32)
+        # A query can share no more words with a text than with all texts of the slice.
+        lo, hi = np.flatnonzero(fit)[[0, -1]] + [0, 1]
+        known = np.concatenate([[0], np.cumsum((at >= 0)[self.own[self.ends[lo] : self.ends[hi]]])])[self.ends[lo : hi + 1] - self.ends[lo]]
+        near = lo + np.flatnonzero(fit[lo:hi] & (np.diff(known) >= LEAST_COMMON * np.maximum(self.n[lo:hi], m.min()) - 0.01))
+        # Words that many texts have are counted by a product of matrices, the others one by one.
+        dense = np.argpartition(-size, min(DENSE, len(size)) - 1)[:DENSE]
+        dense = dense[size[dense] * 16 > len(words)]
+        rank = np.full(len(held) + 1, -1, dtype=np.int32)  # the last entry serves words that no text has
+        rank[dense] = np.arange(len(dense))
+        y = np.zeros((max(1, len(dense)), len(words)), dtype=np.float32)
+        for r, d in enumerate(dense if len(near) else []):
+            y[r, texts[start[d] : start[d] + size[d]]] = 1
+        size0 = np.append(np.where(rank[:-1] >= 0, 0, size), 0).astype(np.int32)
+        start0 = np.append(start, 0).astype(np.int32)
+        length = m.astype(np.float32)
         found: list[int] = []
-        for lo, hi, pairs, hashes, own, ends in self.sides:
-            near = np.flatnonzero(self.open[lo:hi] & (self.n[lo:hi] >= LEAST_COMMON * m.min()) & (LEAST_COMMON * self.n[lo:hi] <= m.max()) & (self.qids[lo:hi] > ids.min()))
-            if not len(near) or not len(hashes):
-                continue
-            use = np.arange(len(words)) if pairs else np.flatnonzero(m < SHORT_TEXT)
-            key = _keys([words[i] for i in use], use, pairs)
-            texts = (key & np.uint64((1 << 24) - 1)).astype(np.int32)
-            held, start, size = np.unique(key >> np.uint64(24), return_index=True, return_counts=True)
-            if not len(held):
-                continue
-            at = np.minimum(np.searchsorted(held, hashes), len(held) - 1)
-            at = np.where(held[at] == hashes, at, -1).astype(np.int32)
-            dense = np.argpartition(-size, min(DENSE, len(size)) - 1)[:DENSE]
-            dense = dense[size[dense] * 16 > len(words)]
-            rank = np.full(len(held) + 1, -1, dtype=np.int32)  # the last entry serves hashes that no text has
-            rank[dense] = np.arange(len(dense))
-            y = np.zeros((max(1, len(dense)), len(words)), dtype=np.float32)
-            for r, d in enumerate(dense):
-                y[r, texts[start[d] : start[d] + size[d]]] = 1
-            size0 = np.append(np.where(rank[:-1] >= 0, 0, size), 0).astype(np.int32)
-            start0 = np.append(start, 0).astype(np.int32)
-            length = m.astype(np.float32)
-            for a in range(0, len(near), GROUP):
-                group = near[a : a + GROUP]
-                parts = [own[ends[i] : ends[i + 1]] for i in group]
-                place = at[np.concatenate(parts)]
-                line = np.repeat(np.arange(len(group)), [len(p) for p in parts])
-                x = np.zeros((len(group), len(y)), dtype=np.float32)
-                common = rank[place] >= 0
-                x[line[common], rank[place[common]]] = 1
-                hits = x @ y
-                some = size0[place] > 0
-                place, line = place[some], line[some]
-                c = size0[place]
-                total = int(c.sum(dtype=np.int64))
-                if total:
-                    base = np.repeat(start0[place] - np.cumsum(c, dtype=np.int32) + c, c)
-                    base += np.arange(total, dtype=np.int32)
-                    cell = texts[base]
-                    cell += np.repeat((line * len(words)).astype(np.int32), c)
-                    hits += np.bincount(cell, minlength=hits.size).reshape(hits.shape)
-                n = self.n[lo + group].astype(np.float32)[:, None]
-                most = np.maximum(n, length)
-                slack = np.float32(1e-6) * most + np.float32(0.01)  # for the rounding of single precision
-                hits -= 3 * LEAST_COMMON * most - 1 - n - length - slack if pairs else LEAST_COMMON * most - slack
-                ok = (hits >= 0) & (np.minimum(n, length) >= LEAST_COMMON * most - slack) & (ids < self.qids[lo + group][:, None])
-                g, t = np.nonzero(ok)
-                q = lo + group[g]
-                if len(q):
-                    keep = np.concatenate([self._words(q[k : k + 4096], t[k : k + 4096], counts, whole, m) for k in range(0, len(q), 4096)])
-                    found += self._exact(q[keep], t[keep], words)
+        for a in range(0, len(near), GROUP):
+            group = near[a : a + GROUP]
+            place = at[np.concatenate([self.own[self.ends[i] : self.ends[i + 1]] for i in group])]
+            line = np.repeat(np.arange(len(group)), self.n[group])
+            x = np.zeros((len(group), len(y)), dtype=np.float32)
+            common = rank[place] >= 0
+            x[line[common], rank[place[common]]] = 1
+            hits = x @ y
+            some = size0[place] > 0
+            place, line = place[some], line[some]
+            c = size0[place]
+            total = int(c.sum(dtype=np.int64))
+            if total:
+                base = np.repeat(start0[place] - np.cumsum(c, dtype=np.int32) + c, c)
+                base += np.arange(total, dtype=np.int32)
+                cell = texts[base]
+                cell += np.repeat((line * len(words)).astype(np.int32), c)
+                hits += np.bincount(cell, minlength=hits.size).reshape(hits.shape)
+            need = np.maximum(self.n[group].astype(np.float32)[:, None], length)
+            need *= np.float32(LEAST_COMMON - 1e-6)  # less for the rounding of single precision
+            need -= np.float32(0.01)
+            g, t = np.nonzero(hits >= need)  # the lengths fit then, too
+            earlier = ids[t] < self.qids[group[g]]
+            g, t = g[earlier], t[earlier]
+            for k in range(0, len(g), 1024):
+                found += self._exact(group[g[k : k + 1024]], t[k : k + 1024], words)
         return found
 
-    def _words(self, q: np.ndarray, t: np.ndarray, counts: np.ndarray, whole: np.ndarray, m: np.ndarray) -> np.ndarray:
-        both = np.minimum(self.counts[q], counts[t]).sum(axis=1, dtype=np.int32)
-        return (both >= LEAST_COMMON * np.maximum(self.n[q], m[t]) - 1e-6) | ~(self.whole[q] & whole[t])
+    def _pairs(self, q: np.ndarray, t: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+        """Whether query and text share as many pairs of neighbouring words as close ones do."""
+        rows = np.arange(len(q))
+        keys = [_keys([self.query(i) for i in q], rows, True), _keys([words[j] for j in t], rows, True)]
+        both = np.intersect1d(*keys, assume_unique=True) & np.uint64((1 << 24) - 1)
+        n, m = self.n[q], np.array([len(words[j]) for j in t])
+        return np.bincount(both.astype(np.int64), minlength=len(q)) >= 3 * LEAST_COMMON * np.maximum(n, m) - 1 - n - m - 0.01
 
     def _exact(self, q: np.ndarray, t: np.ndarray, words: list[np.ndarray]) -> list[int]:
         found: list[int] = []
-        for i, j in zip(q.tolist(), t.tolist(), strict=True):
-            if self.open[i] and close(self.words[i].tolist(), words[j].tolist()):
+        still = self.open[q]
+        q, t = q[still], t[still]
+        keep = self._pairs(q, t, words)
+        for i, j in zip(q[keep].tolist(), t[keep].tolist(), strict=True):
+            if self.open[i] and close(self.query(i).tolist(), words[j].tolist()):
                 self.open[i] = False
                 found.append(int(self.qids[i]))
         return found
 
 
+def _alike(words: list[np.ndarray]) -> list[np.ndarray]:
+    """The texts in groups whose words are mostly those of one text, as those of one language are; this only saves time."""
+    heads = [w[:64] for w in words]
+    sizes = np.array([len(w) for w in heads], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    low, left, out = np.concatenate(heads).view(np.uint32).astype(np.uint16), np.ones(len(words), dtype=bool), []
+    while left.any() and len(out) < ALIKE:
+        at = np.flatnonzero(left)
+        pick = at[len(at) // 2]
+        mask = np.zeros(1 << 16, dtype=bool)
+        mask[words[pick].view(np.uint32).astype(np.uint16)] = True
+        sums = np.cumsum(mask[low])[ends - 1]
+        group = left & (np.diff(sums, prepend=0) >= 0.3 * sizes)
+        group[pick] = True
+        out.append(np.flatnonzero(group))
+        left &= ~group
+    return [*out, np.flatnonzero(left)] if left.any() else out
+
+
 def _compare(block: Block):
     """Maps texts (id, words) to the queries (qid) that are close to one of them with a smaller id."""
 
@@ -273,11 +287,13 @@ def _compare(block: Block):
         words: list[np.ndarray] = []
 
         def compared() -> pa.RecordBatch:
-            """Slices of texts of like length, so that a slice meets only the queries of fitting length."""
+            """Slices of texts of like words and length, so that a slice meets only the queries that may fit."""
             found, all_ids = [], np.concatenate(ids)
-            order = np.argsort([len(w) for w in words], kind="stable")
-            for part in np.array_split(order, min(len(order), 1 + sum(map(len, words)) // SLICE_WORDS)):
-                found += block.against(all_ids[part], [words[i] for i in part])
+            sizes = np.array([len(w) for w in words])
+            for group in _alike(words):
+                order = group[np.argsort(sizes[group], kind="stable")]
+                for part in np.array_split(order, min(len(order), 1 + int(sizes[group].sum()) // SLICE_WORDS)):
+                    found += block.against(all_ids[part], [words[i] for i in part])
             ids.clear()
             words.clear()
             return pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["qid"])
@@ -406,12 +422,19 @@ class History:
         s.drop(best)
         return out
 
-    def _blocks(self, queries: DataFrame, s: Scratch) -> Iterator[tuple[int, int, list]]:
-        """(least and greatest length, rows) of the blocks; a block's rows have about BLOCK_WORDS words."""
+    def _blocks(self, queries: DataFrame, s: Scratch) -> Iterator[tuple[int, int, Block]]:
+        """(least and greatest length, block); a block's queries have about BLOCK_WORDS words, which stay columns on their way."""
+
+        def block(df: DataFrame) -> Iterator[tuple[int, int, Block]]:
+            rows = df.select("id", "words").toArrow().combine_chunks()
+            if rows.num_rows:
+                lists = rows.column("words").combine_chunks()
+                ends, flat = lists.offsets.to_numpy().tolist(), lists.values.to_numpy()
+                b = Block(rows.column("id").to_numpy(), [flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)])
+                yield int(b.n[0]), int(b.n[-1]), b
+
         if self._words <= BLOCK_WORDS:
-            rows = queries.collect()
-            if rows:
-                yield min(r["n"] for r in rows), max(r["n"] for r in rows), rows
+            yield from block(queries)
             return
         queries = s.cut(queries, "left")
         sizes = queries.groupBy("n").agg(F.sum("n").alias("words")).orderBy("n").collect()  # one row per length
@@ -425,9 +448,7 @@ class History:
         for lo, hi in bounds:
             split = max(1, -(-sum(r["words"] for r in sizes if lo <= r["n"] <= hi) // (2 * BLOCK_WORDS)))
             for part in range(split):  # more than one only where a single length holds more than two blocks
-                rows = queries.where(F.col("n").between(lo, hi) & (F.pmod(F.xxhash64("id"), F.lit(split)) == part)).collect()
-                if rows:
-                    yield lo, hi, rows
+                yield from block(queries.where(F.col("n").between(lo, hi) & (F.pmod(F.xxhash64("id"), F.lit(split)) == part)))
 
     def _rest(self, queries: DataFrame, words: DataFrame, s: Scratch) -> DataFrame:
         """qid of the queries (id, n, words) that are close to one of the words (id, n, words) with a smaller id.
@@ -435,10 +456,9 @@ class History:
         Queries go by length into blocks of about BLOCK_WORDS words; a block is compared with all texts of fitting length, which are not shuffled.
         """
         at, blocks = s.path("rest"), 0
-        for lo, hi, rows in self._blocks(queries, s):
-            run = _compare(Block([r["id"] for r in rows], [np.array(r["words"], dtype=np.int32) for r in rows]))
+        for lo, hi, block in self._blocks(queries, s):
             fit = words.where((F.col("n") >= LEAST_COMMON * lo) & (LEAST_COMMON * F.col("n") <= hi) & (F.col("n") > 0)).select("id", "words")
-            fit.mapInArrow(run, "qid long").write.mode("append").parquet(at)
+            fit.mapInArrow(_compare(block), "qid long").write.mode("append").parquet(at)
             blocks += 1
         empty = self.spark.createDataFrame([], T.StructType([T.StructField("qid", T.LongType())]))
         return self.spark.read.schema("qid long").parquet(at).distinct() if blocks else empty
