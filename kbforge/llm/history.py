@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kbforge.runtime import Scratch
+from kbforge.runtime import Scratch, release
 
 SHINGLE, WINDOW, BUCKETS = 5, 8, 8
 LEAST_COMMON = 0.72
@@ -392,6 +392,11 @@ class History:
 
     def check(self, docs: DataFrame) -> DataFrame:
         """(id, match) of the documents (id, content) that repeat a smaller id of the index or the batch; the batch is appended."""
+        out = self._checked(docs)
+        release(self.spark)  # a batch broadcasts some dozen tables
+        return out
+
+    def _checked(self, docs: DataFrame) -> DataFrame:
         s = Scratch(self.spark, "check")
         f, k = self._vectors(docs)
         classes = s.cut(self._classes(f), "classes")

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -138,6 +139,21 @@ def test_history_finds_scattered_edits_in_a_large_group(spark, tmp_path):
     assert got == dict.fromkeys(range(len(near)), "near")
 
 
+def test_history_batches_leave_nothing_on_the_driver(spark, tmp_path):
+    """Broadcasts of a batch that is done don't stay in the driver's memory."""
+    h = history.History(spark, str(tmp_path / "h"))
+    h.add(spark.createDataFrame([(-1 - i, f"old text {i} " * 20) for i in range(50)], "id long, content string"))
+    store, held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().memoryStore(), []
+    for b in range(3):
+        h.check(spark.createDataFrame([(1000 * b + i, f"new text {i} of {b} " * 20) for i in range(50)], "id long, content string"))
+        for _ in range(20):  # Spark cleans in the background
+            time.sleep(0.25)
+            if held and store.memoryUsed() <= held[0] + (1 << 20):
+                break
+        held.append(store.memoryUsed())
+    assert held[-1] <= held[0] + (1 << 20), held
+
+
 @pytest.mark.parametrize("k", [4, 5, 6])
 def test_history_finds_evenly_spread_edits(spark, tmp_path, k):
     """Every k-th word changed, inserted or removed; probing alone sees none of them for k = 4 and 5."""
