@@ -188,8 +188,8 @@ def test_history_block_equals_brute_force(monkeypatch):
     assert got == {i for i in range(300) if any(history.close(texts[i], texts[j]) for j in range(i))}
 
 
-def test_history_counts_pairs_of_few_texts_only(monkeypatch):
-    """Texts of four languages with few words each: shared words alone leave out nearly all others, and nothing close is lost."""
+def test_history_counts_little_one_by_one(monkeypatch):
+    """Texts of four languages with few words each: little is counted besides the product of matrices, and nothing close is lost."""
     import pyarrow as pa
 
     r = random.Random(23)
@@ -200,14 +200,14 @@ def test_history_counts_pairs_of_few_texts_only(monkeypatch):
         for at in r.sample(range(len(t)), int(len(t) * r.uniform(0, 0.35)) if i % 8 == 7 else 0):
             t[at] = r.choice(vocab[i % 4])
         texts.append(t)
-    counted, keys = [], history._keys
-    monkeypatch.setattr(history, "_keys", lambda words, rows, pairs: counted.append(len(words) if pairs else 0) or keys(words, rows, pairs))
+    counted, bincount = [], np.bincount
+    monkeypatch.setattr(history.np, "bincount", lambda x, **k: counted.append(len(x)) or bincount(x, **k))
     monkeypatch.setattr(history, "SLICE_WORDS", 4000)
     batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts, pa.list_(pa.int32()))], names=["id", "words"])
     found = [b.column("qid").to_pylist() for b in history._compare(history.Block(list(range(400)), [np.array(t, dtype=np.int32) for t in texts]))(iter([batch]))]
     want = [i for i in range(400) if any(history.close(texts[i], texts[j]) for j in range(i))]
     assert sorted(sum(found, [])) == want and len(want) > 30
-    assert sum(counted) < 0.02 * 400 * 400
+    assert sum(counted) < 0.3 * 400 * 400
 
 
 def test_word_numbers_and_coordinates():
