@@ -83,7 +83,7 @@ def shuffled(spark, job):
     return sum(n for k, n in stages().items() if k not in before)
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "rerank_lexical", "search_full", "fusion_bypass", "weighted_fusion", "hybrid_pipeline", "citation_docs", "fusion_stats"])
+@pytest.mark.parametrize("name", ["bm25_topk", "rerank_lexical", "search_full", "fusion_bypass", "weighted_fusion", "hybrid_pipeline", "citation_docs", "fusion_stats", "rrf_fusion"])
 def test_no_row_for_each_pair(spark, tables, name):
     __spark_entry__.queries()["bm25_index"](spark, tables).count()  # the stored index is built
     rows = shuffled(spark, lambda: __spark_entry__.queries()[name](spark, tables).collect())
